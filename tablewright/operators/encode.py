@@ -50,7 +50,7 @@ def apply_codes(df: DataFrame, column: str, codes: DataFrame, fill: str | None =
     size = codes.count()
     v = col(column).cast("string")
     key = F.coalesce(v, F.lit(fill)) if fill is not None else v
-    small = broadcast_if(codes.select(col(column).alias("_value"), F.col("code").alias("_code")), size)
+    small = broadcast_if(codes.select(F.col("value").alias("_value"), F.col("code").alias("_code")), size)
     coded = df.withColumn("_key", key).join(small, F.col("_key") == F.col("_value"), "left")
     value = F.when(F.col("_key").isNotNull(), F.coalesce("_code", F.lit(size)))
     out = column if name is None else name

@@ -131,7 +131,7 @@ def time_gaps(
 
 
 def ordinal_codes(values: DataFrame, column: str, blocks: int | None = None) -> DataFrame:
-    """Codes 0, 1, 2, ... in sorted order for a column of distinct, non-missing values."""
+    """(value, code): codes 0, 1, 2, ... in sorted order for a column of distinct, non-missing values."""
     points = split_points(values, column, block_count(values) if blocks is None else blocks)
     work = values.select(col(column)).withColumn("_block", block_of(col(column), points))
     sizes = work.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
@@ -141,4 +141,4 @@ def ordinal_codes(values: DataFrame, column: str, blocks: int | None = None) ->
     )
     inside = Window.partitionBy("_block").orderBy(col(column))
     ranked = work.withColumn("_r", F.row_number().over(inside)).join(offsets, F.col("_block") == F.col("_kb"))
-    return ranked.select(col(column), (F.col("_r") - 1 + F.col("_before")).cast("long").alias("code"))
+    return ranked.select(col(column).alias("value"), (F.col("_r") - 1 + F.col("_before")).cast("long").alias("code"))
