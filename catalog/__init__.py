@@ -6,7 +6,7 @@ import importlib
 
 from catalog.registry import ORACLES, QUERIES
 
-for _area in ("sources", "detect", "repair", "prepare", "judge", "learn"):
+for _area in ("sources", "detect", "repair", "prepare", "judge", "learn", "measure", "runs"):
     importlib.import_module(f"catalog.{_area}")
 
 __all__ = ["ORACLES", "QUERIES"]
