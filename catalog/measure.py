@@ -30,8 +30,7 @@ def labelled_orders(spark, sf):
 
 
 def _vectors(spark, sf, target="cls"):
-    before, _ = I.prepare_pair(labelled_orders(spark, sf), labelled_orders(spark, sf), target, KEYS, KEYS)
-    return before
+    return I.prepare_table(labelled_orders(spark, sf), target, KEYS, KEYS)
 
 
 @query("m01_random_forest")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,21 +42,30 @@ def code_table(*tables: DataFrame, column: str, fill: str | None = None) -> Data
     return ordinal_codes(distinct.filter(col(column).isNotNull()), column)
 
 
-def apply_codes(df: DataFrame, column: str, codes: DataFrame, fill: str | None = None, name: str | None = None) -> DataFrame:
+def code_sizes(*tables: DataFrame) -> list[int]:
+    """Rows of several code tables, counted in one job."""
+    if not tables:
+        return []
+    counts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("i"), "n") for i, t in enumerate(tables)]
+    found = {r["i"]: r["n"] for r in reduce(DataFrame.union, counts).collect()}
+    return [found[i] for i in range(len(tables))]
+
+
+def apply_codes(
+    df: DataFrame, column: str, codes: DataFrame, size: int | None = None, fill: str | None = None
+) -> DataFrame:
     """Replace a column by its codes; a value without a code becomes the next free code.
 
     The code table is broadcast only when its counted size allows; a larger one is joined by shuffle, where AQE
     splits a dominant value.
     """
-    size = codes.count()
+    size = code_sizes(codes)[0] if size is None else size
     v = col(column).cast("string")
     key = F.coalesce(v, F.lit(fill)) if fill is not None else v
     small = broadcast_if(codes.select(F.col("value").alias("_value"), F.col("code").alias("_code")), size)
     coded = df.withColumn("_key", key).join(small, F.col("_key") == F.col("_value"), "left")
     value = F.when(F.col("_key").isNotNull(), F.coalesce("_code", F.lit(size)))
-    out = column if name is None else name
-    kept = [value.alias(out) if c == out else col(c) for c in df.columns]
-    return coded.select(*kept, *([] if out in df.columns else [value.alias(out)]))
+    return coded.select(*[value.alias(column) if c == column else col(c) for c in df.columns])
 
 
 def encode_target(df: DataFrame, target: str | None = None) -> DataFrame:
@@ -66,14 +76,18 @@ def encode_target(df: DataFrame, target: str | None = None) -> DataFrame:
     return apply_codes(df, name, code_table(df, column=name))
 
 
-def encode_categoricals(
-    df: DataFrame, columns: Sequence[str], fitted: dict[str, DataFrame] | None = None
-) -> tuple[DataFrame, dict[str, DataFrame]]:
+Fitted = dict[str, tuple[DataFrame, int]]
+
+
+def encode_categoricals(df: DataFrame, columns: Sequence[str], fitted: Fitted | None = None) -> tuple[DataFrame, Fitted]:
     """NULL becomes the label MISSING, then every value its sorted code; returns the fitted code tables too."""
-    tables = {c: code_table(df, column=c, fill=MISSING_LABEL) for c in columns} if fitted is None else fitted
+    if fitted is None:
+        tables = [code_table(df, column=c, fill=MISSING_LABEL) for c in columns]
+        fitted = dict(zip(columns, zip(tables, code_sizes(*tables))))
     for c in columns:
-        df = apply_codes(df, c, tables[c], fill=MISSING_LABEL)
-    return df, tables
+        codes, size = fitted[c]
+        df = apply_codes(df, c, codes, size, fill=MISSING_LABEL)
+    return df, fitted
 
 
 def fill_mode(df: DataFrame, column: str) -> DataFrame:
@@ -95,12 +109,13 @@ def fill_mode(df: DataFrame, column: str) -> DataFrame:
 def shared_target_codes(left: DataFrame, right: DataFrame, target: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Code the target of two tables by one map over the sorted union of its text values."""
     codes = code_table(left, right, column=target)
-    return apply_codes(left, target, codes), apply_codes(right, target, codes), codes
+    size = code_sizes(codes)[0]
+    return apply_codes(left, target, codes, size), apply_codes(right, target, codes, size), codes
 
 
 def prepare_features(
-    df: DataFrame, target: str, fitted: dict[str, DataFrame] | None = None, keep: Sequence[str] = ()
-) -> tuple[DataFrame, dict[str, DataFrame]]:
+    df: DataFrame, target: str, fitted: Fitted | None = None, keep: Sequence[str] = ()
+) -> tuple[DataFrame, Fitted]:
     """Mean-fill numeric features and code categorical ones; columns of other types are dropped unless kept."""
     untouched = {target, *keep}
     numeric, strings = numeric_columns(df, untouched), string_columns(df, untouched)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.columns import col, hash_key
 from tablewright.functions.metrics import regression_metrics
 from tablewright.operators.fixes import apply_fixes, scale_features
+from tablewright.operators.models import sized
 
 # What a profile is taken to be where it says nothing.
 FEATURE_DEFAULTS = {
@@ -84,10 +85,12 @@ class GainModel:
         data = data.withColumn(
             "fold", F.pmod(F.conv(F.substring(hash_key(data.columns, self.seed), 1, 8), 16, 10).cast("long"), F.lit(folds))
         ).persist(StorageLevel.MEMORY_AND_DISK)
+        stored = data
         try:
             rows = data.count()
             if rows == 0:
                 raise ValueError("training data cannot be empty")
+            data = sized(data, rows)
             self.model = self._pipeline().fit(data)
             label = F.col("f1_improvement").alias("label")
             predicted = F.col("predicted_f1_improvement").alias("prediction")
@@ -104,7 +107,7 @@ class GainModel:
                 "kind string, n_samples bigint, n_features int, train_r2 double, cv_r2_mean double, cv_r2_std double",
             )
         finally:
-            data.unpersist()
+            stored.unpersist()
 
     def _trained(self) -> PipelineModel:
         if self.model is None:

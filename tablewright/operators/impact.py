@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from tablewright.functions.columns import col, numeric_columns, string_columns
 from tablewright.functions.metrics import classification_metrics
 from tablewright.operators.corrupt import corrupt
-from tablewright.operators.encode import apply_codes, code_table, fill_mode, prepare_features, shared_target_codes
+from tablewright.operators.encode import apply_codes, code_sizes, code_table, fill_mode, prepare_features, shared_target_codes
 from tablewright.operators.fixes import apply_fixes
-from tablewright.operators.models import assemble, build_model, cross_validate
+from tablewright.operators.models import assemble, build_model, cross_validate, sized
 from tablewright.operators.profile import score_table
 from tablewright.operators.ranking import stratified_split
 
@@ -52,6 +52,14 @@ def prepare_pair(
     return _vectors(left, names, target, keys), _vectors(right, names, target, keys)
 
 
+def prepare_table(df: DataFrame, target: str, keys: Sequence[str], exclude: Sequence[str] = ()) -> DataFrame:
+    """One table as ``features``, ``label`` and row keys."""
+    labelled = fill_mode(_with_id(df, keys, exclude), target)
+    coded = apply_codes(labelled, target, code_table(labelled, column=target))
+    ready, _ = prepare_features(coded, target, keep=[ID])
+    return _vectors(ready, _feature_names(ready, target=target), target, keys)
+
+
 def analyze_impact(
     original: DataFrame,
     fixed: DataFrame,
@@ -167,7 +175,8 @@ def prepare_train_test(
     """Encoders are fitted on the train part and applied to the test part; an unseen value gets the next free code."""
     left, right = (_with_id(t.filter(col(target).isNotNull()), keys, exclude) for t in (train, test))
     codes = code_table(left, column=target)
-    left, right = apply_codes(left, target, codes), apply_codes(right, target, codes)
+    size = code_sizes(codes)[0]
+    left, right = apply_codes(left, target, codes, size), apply_codes(right, target, codes, size)
     left, fitted = prepare_features(left, target, keep=[ID])
     right, _ = prepare_features(right, target, fitted, keep=[ID])
     names = _feature_names(left, target=target)
@@ -193,8 +202,8 @@ def generalization(
     train, test, train_fixed, test_fixed = split_and_fix(df, target, keys, config, seed)
     score = score_table(train.drop(*keys), target).first()["quality_score"] if with_score else None
     fit_part, eval_part = prepare_train_test(train_fixed, test_fixed, target, keys, exclude)
-    fit_part = fit_part.persist(StorageLevel.MEMORY_AND_DISK)
-    shapes = [t.count() for t in (train, test, train_fixed, test_fixed)]
+    shapes = code_sizes(train, test, train_fixed, test_fixed)
+    fit_part = sized(fit_part, shapes[2]).persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
     try:
         counts = {r["label"]: r["count"] for r in fit_part.groupBy("label").count().collect()}

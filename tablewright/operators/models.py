@@ -5,6 +5,7 @@ Each fold of each model is fitted once; accuracy, weighted F1 and ROC-AUC all co
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -20,7 +21,7 @@ from tablewright.functions.columns import col
 from tablewright.functions.metrics import classification_metrics
 from tablewright.operators.ranking import stratified_folds
 
-MODEL_NAMES = ("rf", "lr", "xgb")
+ROWS_PER_PARTITION = 20_000
 METRICS_SCHEMA = "model string, accuracy double, f1 double, roc_auc double"
 
 
@@ -65,6 +66,11 @@ def assemble(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[
     )
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """Merge tiny partitions before an iterative fit; a large table keeps the partitions it has."""
+    return df.coalesce(max(1, math.ceil(rows / ROWS_PER_PARTITION)))
+
+
 def roc_auc(scored: DataFrame, classes: Sequence[float]) -> float:
     """Binary ROC-AUC, or one-vs-rest AUC weighted by class share."""
     if len(classes) < 2:
@@ -97,7 +103,7 @@ def cross_validate(
     rows, classes = sum(counts.values()), sorted(c for c in counts if c is not None)
     k = fold_count(rows) if folds is None else folds
     folded = stratified_folds(data, "label", k, keys, seed, max(counts.values(), default=0))
-    folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
+    folded = sized(folded, rows).persist(StorageLevel.MEMORY_AND_DISK)
     results = []
     try:
         for name in models:

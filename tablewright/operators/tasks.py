@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.columns import col
 from tablewright.functions.metrics import classification_metrics, davies_bouldin, regression_metrics
-from tablewright.operators.models import assemble, build_model
+from tablewright.operators.models import assemble, build_model, sized
 
 TASK_SCHEMA = "task string, model string, metric string, original double, fixed double, improvement_pct double"
 TASKS = ("classification", "regression", "clustering")
@@ -34,7 +34,7 @@ def classification_impact(
     **size,
 ) -> DataFrame:
     """Weighted F1 on the test table and on its repaired version, same fitted models."""
-    data = assemble(train, features, target).persist(StorageLevel.MEMORY_AND_DISK)
+    data = sized(assemble(train, features, target), train.count()).persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
     try:
         counts = data.groupBy("label").count().agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("k")).first()
@@ -62,7 +62,7 @@ def regression_impact(
     seed: int = 42,
 ) -> DataFrame:
     """RMSE, MAE and R2 on the test table and on its repaired version; improvement is the error's reduction."""
-    data = assemble(train, features, target).persist(StorageLevel.MEMORY_AND_DISK)
+    data = sized(assemble(train, features, target), train.count()).persist(StorageLevel.MEMORY_AND_DISK)
     learners = {
         "rf": RandomForestRegressor(numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=seed),
         "lr": LinearRegression(),
@@ -86,7 +86,7 @@ def regression_impact(
 
 
 def cluster(df: DataFrame, features: Sequence[str], k: int, seed: int = 42) -> DataFrame:
-    """The table's features with the k-means ``cluster`` of every row."""
+    """The table's features with the k-means ``cluster`` of every row; k-means caches its own input."""
     ready = df.select(*[F.coalesce(col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
     data = VectorAssembler(inputCols=list(features), outputCol="features").transform(ready)
     return KMeans(k=k, seed=seed, predictionCol="cluster").fit(data).transform(data)
@@ -94,10 +94,11 @@ def cluster(df: DataFrame, features: Sequence[str], k: int, seed: int = 42) -> D
 
 def clustering_impact(df: DataFrame, fixed: DataFrame, features: Sequence[str], seed: int = 42) -> DataFrame:
     """Silhouette (squared Euclidean, linear in the rows) and Davies-Bouldin index before and after."""
-    k = min(3, max(2, df.limit(3).count()))
+    rows = df.count()
+    k = min(3, max(2, rows))
     found = []
     for table in (df, fixed):
-        points = cluster(table, features, k, seed).persist(StorageLevel.MEMORY_AND_DISK)
+        points = sized(cluster(table, features, k, seed), rows).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             silhouette = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(points)
             found.append((silhouette, davies_bouldin(points, features).first()["davies_bouldin"]))
