@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.columns import col, numeric_columns, string_columns
 from tablewright.functions.metrics import classification_metrics
+from tablewright.functions.together import together
 from tablewright.operators.corrupt import corrupt
 from tablewright.operators.encode import apply_codes, code_sizes, code_table, fill_mode, prepare_features, shared_target_codes
 from tablewright.operators.fixes import apply_fixes
@@ -47,7 +48,9 @@ def prepare_pair(
     """Both tables as ``features``, ``label`` and row keys: same feature columns, same target codes."""
     left, right = (fill_mode(_with_id(t, keys, exclude), target) for t in (original, fixed))
     left, right, _ = shared_target_codes(left, right, target)
-    left, right = (prepare_features(t, target, keep=[ID])[0] for t in (left, right))
+    left, right = together(
+        original.sparkSession, [lambda t=t: prepare_features(t, target, keep=[ID])[0] for t in (left, right)]
+    )
     names = _feature_names(left, right, target=target)
     return _vectors(left, names, target, keys), _vectors(right, names, target, keys)
 
@@ -75,10 +78,13 @@ def analyze_impact(
     """Per model and metric: value on the original table, on the fixed one, and the difference."""
     before, after = prepare_pair(original, fixed, target, keys, exclude)
     identity = [f"_key{i}" for i in range(len(keys))]
-    scored = [
-        {r["model"]: r for r in cross_validate(t, models, identity, seed, folds, **size).collect()}
-        for t in (before, after)
-    ]
+    scored = together(
+        original.sparkSession,
+        [
+            lambda t=t: {r["model"]: r for r in cross_validate(t, models, identity, seed, folds, **size).collect()}
+            for t in (before, after)
+        ],
+    )
     rows = [
         (dataset, m, metric, scored[0][m][metric], scored[1][m][metric])
         for m in models

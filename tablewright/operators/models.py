@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.columns import col
 from tablewright.functions.metrics import classification_metrics
+from tablewright.functions.together import together
 from tablewright.operators.ranking import stratified_folds
 
 ROWS_PER_PARTITION = 20_000
@@ -96,34 +97,43 @@ def cross_validate(
     keys: Sequence[str] = ("_key0",),
     seed: int = 42,
     folds: int | None = None,
+    at_once: int = 4,
     **size,
 ) -> DataFrame:
-    """Mean accuracy, weighted F1 and ROC-AUC over stratified folds, one row per model; a failing fold scores 0."""
+    """Mean accuracy, weighted F1 and ROC-AUC over stratified folds, one row per model; a failing fold scores 0.
+
+    Up to ``at_once`` folds are fitted side by side; the predictions of all folds and models are measured in one job.
+    """
     counts = {r["label"]: r["count"] for r in data.groupBy("label").count().collect()}
     rows, classes = sum(counts.values()), sorted(c for c in counts if c is not None)
     k = fold_count(rows) if folds is None else folds
     folded = stratified_folds(data, "label", k, keys, seed, max(counts.values(), default=0))
     folded = sized(folded, rows).persist(StorageLevel.MEMORY_AND_DISK)
-    results = []
+    spark, runs = data.sparkSession, [(name, i) for name in models for i in range(k)]
+
+    def run(name: str, i: int) -> tuple[DataFrame, float] | None:
+        try:
+            fitted = build_model(name, rows, len(classes), seed, **size).fit(folded.filter(F.col("fold") != i))
+            scored = fitted.transform(folded.filter(F.col("fold") == i))
+            kept = scored.select(F.lit(name).alias("model"), F.lit(i).alias("fold"), "label", "prediction")
+            return kept, roc_auc(scored, classes)
+        except Exception as error:  # one failing fold must not end the comparison
+            print(f"{name} fold {i} failed: {type(error).__name__}: {error}"[:200])
+            return None
+
     try:
-        for name in models:
-            scored = []
-            for i in range(k):
-                train, test = folded.filter(F.col("fold") != i), folded.filter(F.col("fold") == i)
-                try:
-                    fitted = build_model(name, rows, len(classes), seed, **size).fit(train)
-                    scored.append((i, fitted.transform(test)))
-                except Exception as error:  # one failing fold must not end the comparison
-                    print(f"{name} fold {i} failed: {type(error).__name__}: {error}"[:200])
-            if not scored:
-                results.append((name, 0.0, 0.0, 0.0))
-                continue
-            together = reduce(DataFrame.union, [p.select(F.lit(i).alias("fold"), "label", "prediction") for i, p in scored])
-            per_fold = classification_metrics(together, ["fold"]).collect()
-            auc = sum(roc_auc(p, classes) for _, p in scored) / k
-            results.append(
-                (name, sum(r["accuracy"] for r in per_fold) / k, sum(r["weighted_f1"] for r in per_fold) / k, auc)
-            )
+        folded.count()
+        done = together(spark, [lambda n=n, i=i: run(n, i) for n, i in runs], at_once)
+        auc = dict.fromkeys(models, 0.0)
+        for (name, _), outcome in zip(runs, done):
+            auc[name] += outcome[1] / k if outcome else 0.0
+        sums = {name: [0.0, 0.0] for name in models}
+        predictions = [outcome[0] for outcome in done if outcome]
+        if predictions:
+            for r in classification_metrics(reduce(DataFrame.union, predictions), ["model", "fold"]).collect():
+                sums[r["model"]][0] += r["accuracy"] / k
+                sums[r["model"]][1] += r["weighted_f1"] / k
+        results = [(name, *sums[name], auc[name]) for name in models]
     finally:
         folded.unpersist()
-    return data.sparkSession.createDataFrame(results, METRICS_SCHEMA)
+    return spark.createDataFrame(results, METRICS_SCHEMA)

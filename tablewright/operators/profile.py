@@ -22,6 +22,7 @@ from tablewright.functions.columns import (
     resolve_target,
     string_columns,
 )
+from tablewright.functions.together import together
 from tablewright.operators.quantiles import quantiles
 
 # Pairs aggregated by one branch; beyond this the generated aggregate outgrows the JIT limit and runs interpreted.
@@ -313,11 +314,16 @@ def type_mix(df: DataFrame) -> DataFrame:
 def score_table(df: DataFrame, target: str | None = None) -> DataFrame:
     """One row: the five score inputs, the 0-100 score and its band."""
     name = resolve_target(df, target)
-    missing = missing_summary(df).first()
-    duplicates = duplicate_summary(df).first()
-    outliers = outlier_summary(df).first()
-    balance = class_balance(df, name).first()
-    pairs = high_correlations(df).count()
+    missing, duplicates, outliers, balance, pairs = together(
+        df.sparkSession,
+        [
+            lambda: missing_summary(df).first(),
+            lambda: duplicate_summary(df).first(),
+            lambda: outlier_summary(df).first(),
+            lambda: class_balance(df, name).first(),
+            lambda: high_correlations(df).count(),
+        ],
+    )
     inputs = df.sparkSession.createDataFrame(
         [
             (
@@ -343,12 +349,17 @@ def score_table(df: DataFrame, target: str | None = None) -> DataFrame:
 def profile(df: DataFrame, target: str | None = None) -> DataFrame:
     """The full report of all seven checks in long form (see PROFILE_SCHEMA), with the overall score."""
     spark, name = df.sparkSession, resolve_target(df, target)
-    cells = missing_counts(df).collect()
-    duplicates = duplicate_summary(df).first()
-    ids = id_like_columns(df).collect()
-    outliers = outlier_counts(df).collect()
-    balance = class_balance(df, name).first()
-    pairs = high_correlations(df).collect()
+    cells, duplicates, ids, outliers, balance, pairs = together(
+        spark,
+        [
+            lambda: missing_counts(df).collect(),
+            lambda: duplicate_summary(df).first(),
+            lambda: id_like_columns(df).collect(),
+            lambda: outlier_counts(df).collect(),
+            lambda: class_balance(df, name).first(),
+            lambda: high_correlations(df).collect(),
+        ],
+    )
 
     rows_total = cells[0]["rows"]
     cell_total = rows_total * len(df.columns)
