@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import col, numeric_columns, string_columns
+from tablewright.functions.columns import col, numeric_columns, resolve_target, string_columns
 from tablewright.functions.metrics import classification_metrics
 from tablewright.functions.together import together
 from tablewright.operators.corrupt import corrupt
@@ -24,8 +24,9 @@ ISSUES = ("missing_values", "outliers", "duplicates")
 ID = "_id"
 
 
-def _with_id(df: DataFrame, keys: Sequence[str], exclude: Sequence[str]) -> DataFrame:
+def _with_id(df: DataFrame, target: str, keys: Sequence[str], exclude: Sequence[str]) -> DataFrame:
     """Carry the row keys as one struct, a type no feature step touches, and drop the columns that are no features."""
+    resolve_target(df, target)
     tagged = df.withColumn(ID, F.struct(*[col(k).alias(f"k{i}") for i, k in enumerate(keys)]))
     return tagged.drop(*exclude)
 
@@ -46,7 +47,7 @@ def prepare_pair(
     original: DataFrame, fixed: DataFrame, target: str, keys: Sequence[str], exclude: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame]:
     """Both tables as ``features``, ``label`` and row keys: same feature columns, same target codes."""
-    left, right = (fill_mode(_with_id(t, keys, exclude), target) for t in (original, fixed))
+    left, right = (fill_mode(_with_id(t, target, keys, exclude), target) for t in (original, fixed))
     left, right, _ = shared_target_codes(left, right, target)
     left, right = together(
         original.sparkSession, [lambda t=t: prepare_features(t, target, keep=[ID])[0] for t in (left, right)]
@@ -57,7 +58,7 @@ def prepare_pair(
 
 def prepare_table(df: DataFrame, target: str, keys: Sequence[str], exclude: Sequence[str] = ()) -> DataFrame:
     """One table as ``features``, ``label`` and row keys."""
-    labelled = fill_mode(_with_id(df, keys, exclude), target)
+    labelled = fill_mode(_with_id(df, target, keys, exclude), target)
     coded = apply_codes(labelled, target, code_table(labelled, column=target))
     ready, _ = prepare_features(coded, target, keep=[ID])
     return _vectors(ready, _feature_names(ready, target=target), target, keys)
@@ -179,7 +180,7 @@ def prepare_train_test(
     train: DataFrame, test: DataFrame, target: str, keys: Sequence[str], exclude: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame]:
     """Encoders are fitted on the train part and applied to the test part; an unseen value gets the next free code."""
-    left, right = (_with_id(t.filter(col(target).isNotNull()), keys, exclude) for t in (train, test))
+    left, right = (_with_id(t, target, keys, exclude).filter(col(target).isNotNull()) for t in (train, test))
     codes = code_table(left, column=target)
     size = code_sizes(codes)[0]
     left, right = apply_codes(left, target, codes, size), apply_codes(right, target, codes, size)

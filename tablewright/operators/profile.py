@@ -28,6 +28,8 @@ from tablewright.operators.quantiles import quantiles
 # Pairs aggregated by one branch; beyond this the generated aggregate outgrows the JIT limit and runs interpreted.
 PAIRS_PER_SCAN = 8
 CLASS_LIMIT = 20
+# A distinct count estimated below this share of the rows is five sketch deviations away from "all different".
+SURELY_REPEATED = 0.75
 HIGH_CORRELATION = 0.9
 
 PROFILE_SCHEMA = "check string, column string, metric string, value double, severity string"
@@ -127,10 +129,10 @@ def id_like_columns(df: DataFrame) -> DataFrame:
     screen = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(names)],
-        *[F.approx_count_distinct(col(c), 0.01).alias(f"d{i}") for i, c in enumerate(names)],
+        *[F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(names)],
     ).first()
     survivors = [
-        c for i, c in enumerate(names) if screen[f"n{i}"] == screen["rows"] and screen[f"d{i}"] >= 0.9 * screen["rows"]
+        c for i, c in enumerate(names) if screen[f"n{i}"] == screen["rows"] and screen[f"d{i}"] >= SURELY_REPEATED * screen["rows"]
     ]
     if not survivors:
         return empty
@@ -212,7 +214,7 @@ def is_class_like(df: DataFrame, target: str) -> bool:
     if isinstance(df.schema[target].dataType, T.StringType):
         return True
     # A clearly continuous column is ruled out by a bounded sketch before anything is grouped.
-    if df.agg(F.approx_count_distinct(col(target), 0.01)).first()[0] > 2 * CLASS_LIMIT:
+    if df.agg(F.approx_count_distinct(col(target))).first()[0] > 2 * CLASS_LIMIT:
         return False
     return class_counts(df, target).count() < CLASS_LIMIT
 
