@@ -42,8 +42,8 @@ def code_table(*tables: DataFrame, column: str, fill: str | None = None) -> Data
     return ordinal_codes(distinct.filter(col(column).isNotNull()), column)
 
 
-def code_sizes(*tables: DataFrame) -> list[int]:
-    """Rows of several code tables, counted in one job."""
+def row_counts(*tables: DataFrame) -> list[int]:
+    """Rows of several tables, counted in one job."""
     if not tables:
         return []
     counts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("i"), "n") for i, t in enumerate(tables)]
@@ -59,7 +59,7 @@ def apply_codes(
     The code table is broadcast only when its counted size allows; a larger one is joined by shuffle, where AQE
     splits a dominant value.
     """
-    size = code_sizes(codes)[0] if size is None else size
+    size = row_counts(codes)[0] if size is None else size
     v = col(column).cast("string")
     key = F.coalesce(v, F.lit(fill)) if fill is not None else v
     small = broadcast_if(codes.select(F.col("value").alias("_value"), F.col("code").alias("_code")), size)
@@ -83,7 +83,7 @@ def encode_categoricals(df: DataFrame, columns: Sequence[str], fitted: Fitted |
     """NULL becomes the label MISSING, then every value its sorted code; returns the fitted code tables too."""
     if fitted is None:
         tables = [code_table(df, column=c, fill=MISSING_LABEL) for c in columns]
-        fitted = dict(zip(columns, zip(tables, code_sizes(*tables))))
+        fitted = dict(zip(columns, zip(tables, row_counts(*tables))))
     for c in columns:
         codes, size = fitted[c]
         df = apply_codes(df, c, codes, size, fill=MISSING_LABEL)
@@ -109,7 +109,7 @@ def fill_mode(df: DataFrame, column: str) -> DataFrame:
 def shared_target_codes(left: DataFrame, right: DataFrame, target: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Code the target of two tables by one map over the sorted union of its text values."""
     codes = code_table(left, right, column=target)
-    size = code_sizes(codes)[0]
+    size = row_counts(codes)[0]
     return apply_codes(left, target, codes, size), apply_codes(right, target, codes, size), codes
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.columns import col, groupable, numeric_columns, resolve_target
+from tablewright.functions.lineage import cut
 from tablewright.operators.profile import class_counts, iqr_bounds
 from tablewright.operators.quantiles import quantiles
 from tablewright.operators.ranking import bucket_digits, flag_quota
@@ -301,8 +302,8 @@ def fix_stages(
     fits_follow = any(config.get(step) for step in ("outliers", "imbalance", "scale"))
     if config.get("duplicates"):
         df = remove_duplicates(df)
-        if fits_follow and df.sparkSession.conf.get("spark.checkpoint.dir", None):
-            df = df.checkpoint(eager=True)
+        if fits_follow:
+            df = cut(df)
         stages.append(("duplicates", "first", df))
     if config.get("outliers"):
         df = remove_outliers(df)

@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import col, numeric_columns, resolve_target, string_columns
+from tablewright.functions.lineage import kept
 from tablewright.functions.metrics import classification_metrics
 from tablewright.functions.together import together
 from tablewright.operators.corrupt import corrupt
-from tablewright.operators.encode import apply_codes, code_sizes, code_table, fill_mode, prepare_features, shared_target_codes
+from tablewright.operators.encode import apply_codes, row_counts, code_table, fill_mode, prepare_features, shared_target_codes
 from tablewright.operators.fixes import apply_fixes
 from tablewright.operators.models import assemble, build_model, cross_validate, sized
 from tablewright.operators.profile import score_table
@@ -31,6 +31,13 @@ def _with_id(df: DataFrame, target: str, keys: Sequence[str], exclude: Sequence[
     return tagged.drop(*exclude)
 
 
+def _used(df: DataFrame, target: str, keys: Sequence[str], exclude: Sequence[str]) -> DataFrame:
+    """Only what the evaluation reads: keys, target, and features that are not excluded."""
+    features = [c for c in [*numeric_columns(df), *string_columns(df)] if c not in exclude]
+    wanted = {*features, target, *keys}
+    return df.select(*[col(c) for c in df.columns if c in wanted])
+
+
 def _vectors(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str]) -> DataFrame:
     """Features a table lacks are 0, as for two tables aligned to the union of their columns."""
     lacking = [F.lit(0).alias(c) for c in features if c not in df.columns]
@@ -77,15 +84,19 @@ def analyze_impact(
     **size,
 ) -> DataFrame:
     """Per model and metric: value on the original table, on the fixed one, and the difference."""
-    before, after = prepare_pair(original, fixed, target, keys, exclude)
     identity = [f"_key{i}" for i in range(len(keys))]
-    scored = together(
-        original.sparkSession,
-        [
-            lambda t=t: {r["model"]: r for r in cross_validate(t, models, identity, seed, folds, **size).collect()}
-            for t in (before, after)
-        ],
-    )
+    for t in (original, fixed):
+        resolve_target(t, target)
+    # Each table feeds many statistics and fits: it is computed once.
+    with kept(_used(original, target, keys, exclude), _used(fixed, target, keys, exclude)) as (left, right):
+        before, after = prepare_pair(left, right, target, keys, exclude)
+        scored = together(
+            original.sparkSession,
+            [
+                lambda t=t: {r["model"]: r for r in cross_validate(t, models, identity, seed, folds, **size).collect()}
+                for t in (before, after)
+            ],
+        )
     rows = [
         (dataset, m, metric, scored[0][m][metric], scored[1][m][metric])
         for m in models
@@ -182,7 +193,7 @@ def prepare_train_test(
     """Encoders are fitted on the train part and applied to the test part; an unseen value gets the next free code."""
     left, right = (_with_id(t, target, keys, exclude).filter(col(target).isNotNull()) for t in (train, test))
     codes = code_table(left, column=target)
-    size = code_sizes(codes)[0]
+    size = row_counts(codes)[0]
     left, right = apply_codes(left, target, codes, size), apply_codes(right, target, codes, size)
     left, fitted = prepare_features(left, target, keep=[ID])
     right, _ = prepare_features(right, target, fitted, keep=[ID])
@@ -206,24 +217,24 @@ def generalization(
 
     One row per model with the train score and the shapes of all four parts.
     """
-    train, test, train_fixed, test_fixed = split_and_fix(df, target, keys, config, seed)
-    score = score_table(train.drop(*keys), target).first()["quality_score"] if with_score else None
-    fit_part, eval_part = prepare_train_test(train_fixed, test_fixed, target, keys, exclude)
-    shapes = code_sizes(train, test, train_fixed, test_fixed)
-    fit_part = sized(fit_part, shapes[2]).persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
-    try:
-        counts = {r["label"]: r["count"] for r in fit_part.groupBy("label").count().collect()}
-        for name in models:
-            try:
-                model = build_model(name, sum(counts.values()), len(counts), seed, **size).fit(fit_part)
-                found = classification_metrics(model.transform(eval_part).select("label", "prediction")).first()
-                rows.append((dataset, name, score, found["weighted_f1"], found["accuracy"], *shapes))
-            except Exception as error:  # a failing model scores 0, the others go on
-                print(f"{name} failed: {type(error).__name__}: {error}"[:200])
-                rows.append((dataset, name, score, 0.0, 0.0, *shapes))
-    finally:
-        fit_part.unpersist()
+    with kept(stratified_split(df, target, keys, 0.2, seed)) as (flagged,):
+        train, test = (flagged.filter(F.col("is_test") == part).drop("is_test") for part in (False, True))
+        score = score_table(train.drop(*keys), target).first()["quality_score"] if with_score else None
+        fixes = [apply_fixes(t, config, target, keys) for t in (train, test)]
+        with kept(*fixes) as (train_fixed, test_fixed):
+            shapes = row_counts(train, test, train_fixed, test_fixed)
+            fit_part, eval_part = prepare_train_test(train_fixed, test_fixed, target, keys, exclude)
+            with kept(sized(fit_part, shapes[2])) as (fit_part,):
+                counts = {r["label"]: r["count"] for r in fit_part.groupBy("label").count().collect()}
+                for name in models:
+                    try:
+                        model = build_model(name, sum(counts.values()), len(counts), seed, **size).fit(fit_part)
+                        found = classification_metrics(model.transform(eval_part).select("label", "prediction")).first()
+                        rows.append((dataset, name, score, found["weighted_f1"], found["accuracy"], *shapes))
+                    except Exception as error:  # a failing model scores 0, the others go on
+                        print(f"{name} failed: {type(error).__name__}: {error}"[:200])
+                        rows.append((dataset, name, score, 0.0, 0.0, *shapes))
     return df.sparkSession.createDataFrame(
         rows,
         "dataset string, model string, train_quality_score double, test_f1 double, test_accuracy double, "

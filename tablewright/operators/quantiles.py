@@ -2,7 +2,7 @@
 
 Every column is aggregated by its own branch of one union, so each branch scans a single column, the branches run side
 by side, and no generated aggregate grows with the width of the table.  On a plan whose estimated size is
-small a branch sorts the values of its column.  On a large one they would not fit one buffer, so the
+small, and whose counted rows are few, a branch sorts the values of its column.  On a large one they would not fit one buffer, so the
 wanted order statistics are bracketed instead: a bounded sketch proposes an interval, one scan counts exactly how many
 values lie below, on and inside it, and the interval shrinks by a factor of hundreds per scan until few
 enough values are left to sort.  Only counts and interval ends reach the driver.
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.columns import col, plan_bytes
 
 SMALL_PLAN_BYTES = 32 * 1024 * 1024
+SMALL_ROWS = 5_000_000
 SKETCH_ACCURACY = 10_000
 GRID = 400
 SORTABLE = 50_000
@@ -69,7 +70,8 @@ class Bracket:
 
 
 def is_small(df: DataFrame, limit: int | None = None) -> bool:
-    return plan_bytes(df) <= (SMALL_PLAN_BYTES if limit is None else limit)
+    """Small by the optimizer's estimate and, since files may be compressed well, by a count of the rows."""
+    return plan_bytes(df) <= (SMALL_PLAN_BYTES if limit is None else limit) and df.count() <= SMALL_ROWS
 
 
 def quantiles(

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.columns import col, plan_bytes
 
-BYTES_PER_BLOCK = 128 * 1024 * 1024
+BYTES_PER_BLOCK = 64 * 1024 * 1024
 MAX_BLOCKS = 4096
 
 
 def block_count(df: DataFrame) -> int:
-    """One block per 128 MB of estimated plan size."""
+    """One block per 64 MB of estimated plan size."""
     return max(1, min(MAX_BLOCKS, plan_bytes(df) // BYTES_PER_BLOCK))
 
 

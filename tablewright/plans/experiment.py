@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import scoring
 from tablewright.operators.corrupt import inject_noise
+from tablewright.operators.encode import row_counts
 from tablewright.operators.fixes import apply_fixes
 from tablewright.operators.flat import flat_profile
 from tablewright.operators.gain import GainModel, fix_if_worth
@@ -44,7 +45,7 @@ def run_experiment(experiment: Experiment, config: dict | None = None) -> DataFr
     df = experiment.load()
     fixed = apply_fixes(df, config, experiment.target, experiment.keys)
     score = score_table(df, experiment.target).first()["quality_score"]
-    before, after = df.count(), fixed.count()
+    before, after = row_counts(df, fixed)
     impact = analyze_impact(
         df, fixed, experiment.target, experiment.keys, exclude=experiment.exclude, dataset=experiment.name, **experiment.options
     )
