@@ -78,8 +78,8 @@ def hash_key(keys: Sequence[str], seed: int | str) -> Column:
 
 
 def hex_share(share: float) -> str:
-    """Eight hex digits below which the given share of md5 keys falls."""
-    return format(min(int(share * 2**32), 2**32 - 1), "08x")
+    """Hex text below which the given share of md5 keys falls ("g" sorts after all of them)."""
+    return "g" if share >= 1 else format(int(share * 2**32), "08x")
 
 
 def in_share(key: Column, share: float) -> Column:

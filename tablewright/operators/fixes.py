@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tablewright.functions.columns import col, groupable, numeric_columns, resolve_target
 from tablewright.functions.lineage import cut
-from tablewright.operators.profile import class_counts, iqr_bounds
+from tablewright.operators.profile import class_counts, fence_literals, iqr_bounds
 from tablewright.operators.quantiles import quantiles
 from tablewright.operators.ranking import bucket_digits, flag_quota
 from tablewright.operators.sequence import fill_in_order
@@ -93,10 +93,14 @@ def iqr_predicates(df: DataFrame, k: float = 3.0, exclude: Iterable[str] = ()) -
     """Per numeric column: true inside the fences; NULL (and a column without values) does not pass."""
     names = numeric_columns(df, exclude)
     fences = iqr_bounds(df, names, k)
-    return {
-        c: (col(c) >= F.lit(fences[c][0])) & (col(c) <= F.lit(fences[c][1])) if c in fences else F.lit(False)
-        for c in names
-    }
+    passes = {}
+    for c in names:
+        if c not in fences:
+            passes[c] = F.lit(False)
+            continue
+        low, high = fence_literals(df, c, fences[c])
+        passes[c] = (col(c) >= low) & (col(c) <= high)
+    return passes
 
 
 def zscore_predicates(df: DataFrame, threshold: float = 3.0, exclude: Iterable[str] = ()) -> dict[str, Column]:

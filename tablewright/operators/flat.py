@@ -98,7 +98,7 @@ def _sum_of(flags: list[Column]) -> Column:
 
 def _cells(keyed: DataFrame, groups: list[str], names: list[str], strings: list[str], fences: dict) -> DataFrame:
     aggregates = [F.count(F.lit(1)).alias("_rows"), *[F.count(col(c)).alias(f"_p{i}") for i, c in enumerate(names)]]
-    aggregates += [F.count_if(outside(c, f)).alias(f"_o{i}") for i, (c, f) in enumerate(fences.items())]
+    aggregates += [F.count_if(outside(keyed, c, f)).alias(f"_o{i}") for i, (c, f) in enumerate(fences.items())]
     for i, c in enumerate(strings):
         reads = col(c).try_cast("double")
         aggregates += [

@@ -6,6 +6,7 @@ everything that can be as large as the table (distinct rows, class tables) stays
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -119,8 +120,8 @@ def duplicate_summary(df: DataFrame, exact: bool = False) -> DataFrame:
 def id_like_columns(df: DataFrame) -> DataFrame:
     """String columns in which every row holds a different, non-missing value.
 
-    A bounded sketch (one scan, all columns) rules out almost every column; only survivors are grouped exactly, each in its own
-    branch, so no aggregate expands the table.
+    A bounded sketch (one scan, all columns) rules out almost every column; only survivors are grouped, each in its own branch, so
+    no aggregate expands the table.  They are grouped by two 64-bit hashes, so long texts are not shuffled.
     """
     spark, names = df.sparkSession, string_columns(df)
     empty = spark.createDataFrame([], "column string, distinct_values bigint")
@@ -137,7 +138,7 @@ def id_like_columns(df: DataFrame) -> DataFrame:
     if not survivors:
         return empty
     branches = [
-        df.groupBy(col(c).alias("v"))
+        df.groupBy(F.xxhash64(F.lit("a"), col(c)).alias("h1"), F.xxhash64(F.lit("b"), col(c)).alias("h2"))
         .agg(F.count(F.lit(1)).alias("n"))
         .agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("distinct_values"))
         .filter("most = 1")
@@ -161,8 +162,21 @@ def iqr_bounds(
     return fences
 
 
-def outside(name: str, fence: tuple[float, float]) -> Column:
-    return (col(name) < F.lit(fence[0])) | (col(name) > F.lit(fence[1]))
+def fence_literals(df: DataFrame, name: str, fence: tuple[float, float]) -> tuple[Column, Column]:
+    """The fences as literals of the column's own kind.
+
+    For whole numbers the next whole number inside the fence decides alike, needs no cast, and so the range reaches the scan.
+    """
+    low, high = fence
+    whole = isinstance(df.schema[name].dataType, T.IntegralType)
+    if whole and all(math.isfinite(x) and abs(x) < 2**62 for x in fence):
+        return F.lit(math.ceil(low)).cast("long"), F.lit(math.floor(high)).cast("long")
+    return F.lit(low), F.lit(high)
+
+
+def outside(df: DataFrame, name: str, fence: tuple[float, float]) -> Column:
+    low, high = fence_literals(df, name, fence)
+    return (col(name) < low) | (col(name) > high)
 
 
 def outlier_counts(df: DataFrame, k: float = 1.5, columns: Sequence[str] | None = None) -> DataFrame:
@@ -178,7 +192,7 @@ def outlier_counts(df: DataFrame, k: float = 1.5, columns: Sequence[str] | None
             *[
                 F.struct(
                     F.lit(c).alias("column"),
-                    (F.count_if(outside(c, fences[c])) if c in fences else F.lit(0).cast("long")).alias("outliers"),
+                    (F.count_if(outside(df, c, fences[c])) if c in fences else F.lit(0).cast("long")).alias("outliers"),
                 )
                 for c in names
             ]

@@ -18,6 +18,7 @@ from tablewright.functions.columns import broadcast_if, col, hash_key
 
 ROWS_PER_BUCKET = 2_000_000
 MAX_DIGITS = 5
+TOP_N_LIMIT = 10_000
 # Sorts after every hex digit: the cut of a group whose quota exceeds its rows.
 BEYOND = "~"
 
@@ -96,7 +97,7 @@ def sample_exact(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42, row
     A small n is a top-n that every task trims before anything moves; a large one goes by bucket quota, so that the sample itself
     is never gathered in one task.
     """
-    if n <= 100_000:
+    if n <= TOP_N_LIMIT:
         hashed = df.withColumn("_h", hash_key(keys, seed))
         return hashed.orderBy("_h", *[col(k) for k in keys]).limit(n).drop("_h")
     total = df.count() if rows is None else rows

@@ -61,6 +61,15 @@ def test_iqr_filter_drops_null_and_uses_input_bounds(spark):
     assert X.remove_outliers(df, "iqr", 3.0, exclude=["v"]).count() == 7
 
 
+def test_whole_number_fences_decide_like_exact_ones_and_reach_the_scan(spark, sf):
+    lineitem = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_linenumber", "l_partkey")
+    kept = X.remove_outliers(lineitem, "iqr", 0.1)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(l_linenumber,2)" in plan
+    exact = X.remove_outliers(lineitem.select(*[F.col(c).cast("double").alias(c) for c in lineitem.columns]), "iqr", 0.1)
+    assert 0 < kept.count() == exact.count() < lineitem.count()
+
+
 def test_zscore_counts_filled_rows_and_skips_constants(spark):
     df = spark.createDataFrame([(0.0, 5), (0.0, 5), (0.0, 5), (10.0, 5), (None, 5)], "v double, c int")
     # mean 2.5; squares 75 over all five rows: deviation 3.873, z of 10 is 1.936
@@ -113,11 +122,13 @@ def test_bucketed_rank_equals_plain_rank(skewed, digits):
     assert rows(R.hash_rank(skewed, ["cls"], ["id"], 7, digits)) == rows(R.hash_rank(skewed, ["cls"], ["id"], 7, 0))
 
 
-def test_global_sample_by_quota(skewed, monkeypatch):
-    few = R.sample_exact(skewed, 300, ["id"])
-    quota = skewed.sparkSession.range(1).select(F.lit(300).cast("long").alias("quota"))
-    many = R.flag_quota(skewed, quota, [], ["id"], 42, 1, 1).filter("selected").drop("selected")
-    assert rows(few) == rows(many)
+@pytest.mark.parametrize("bucket_rows", [10, 150, 5000])
+def test_global_sample_by_quota(skewed, monkeypatch, bucket_rows):
+    few = rows(R.sample_exact(skewed, 300, ["id"]))
+    monkeypatch.setattr(R, "TOP_N_LIMIT", 10)
+    monkeypatch.setattr(R, "ROWS_PER_BUCKET", bucket_rows)
+    assert rows(R.sample_exact(skewed, 300, ["id"])) == few
+    assert R.sample_exact(skewed, 9999, ["id"]).count() == 2000
 
 
 def test_folds_differ_by_at_most_one(skewed):
