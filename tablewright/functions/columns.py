@@ -58,6 +58,14 @@ def null_nan(df: DataFrame) -> DataFrame:
     )
 
 
+def read_number(name: str) -> Column:
+    """The text as a number, or NULL.
+
+    Text that cannot start a number is ruled out by a pattern first: a failing cast costs an exception per value.
+    """
+    return F.when(col(name).rlike(r"^[\x00-\x20]*[0-9+\-.iInN]"), col(name).try_cast("double"))
+
+
 def percent(part: Column, whole: Column) -> Column:
     """100 * part / whole as a double; NULL for an empty whole."""
     return F.try_divide(part.cast("double") * 100.0, whole.cast("double"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions import scoring
-from tablewright.functions.columns import col, numeric_columns, percent, resolve_target, string_columns
+from tablewright.functions.columns import col, numeric_columns, percent, read_number, resolve_target, string_columns
 from tablewright.operators.profile import (
     HIGH_CORRELATION,
     PAIRS_PER_SCAN,
@@ -99,13 +99,11 @@ def _sum_of(flags: list[Column]) -> Column:
 def _cells(keyed: DataFrame, groups: list[str], names: list[str], strings: list[str], fences: dict) -> DataFrame:
     aggregates = [F.count(F.lit(1)).alias("_rows"), *[F.count(col(c)).alias(f"_p{i}") for i, c in enumerate(names)]]
     aggregates += [F.count_if(outside(keyed, c, f)).alias(f"_o{i}") for i, (c, f) in enumerate(fences.items())]
-    for i, c in enumerate(strings):
-        reads = col(c).try_cast("double")
-        aggregates += [
-            F.count_if(reads.isNotNull()).alias(f"_c{i}"),
-            F.count_if(col(c).isNotNull() & reads.isNull()).alias(f"_t{i}"),
-        ]
-    mixed = [((F.col(f"_c{i}") > 0) & (F.col(f"_t{i}") > 0)).cast("long") for i in range(len(strings))]
+    aggregates += [F.count(read_number(c)).alias(f"_c{i}") for i, c in enumerate(strings)]
+    place = {c: i for i, c in enumerate(names)}
+    mixed = [
+        ((F.col(f"_c{i}") > 0) & (F.col(f"_p{place[c]}") > F.col(f"_c{i}"))).cast("long") for i, c in enumerate(strings)
+    ]
     return keyed.groupBy(*groups).agg(*aggregates).select(
         *groups,
         "_rows",

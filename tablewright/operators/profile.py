@@ -20,6 +20,7 @@ from tablewright.functions.columns import (
     groupable,
     numeric_columns,
     percent,
+    read_number,
     resolve_target,
     string_columns,
 )
@@ -312,8 +313,8 @@ def type_mix(df: DataFrame) -> DataFrame:
     cells = [
         F.struct(
             F.lit(c).alias("column"),
-            F.count_if(col(c).try_cast("double").isNotNull()).alias("castable"),
-            F.count_if(col(c).isNotNull() & col(c).try_cast("double").isNull()).alias("other"),
+            F.count(read_number(c)).alias("castable"),
+            (F.count(col(c)) - F.count(read_number(c))).alias("other"),
         )
         for c in names
     ]
