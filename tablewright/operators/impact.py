@@ -87,18 +87,20 @@ def analyze_impact(
     identity = [f"_key{i}" for i in range(len(keys))]
     for t in (original, fixed):
         resolve_target(t, target)
-    # Each table feeds many statistics and fits: it is computed once.
-    with kept(_used(original, target, keys, exclude), _used(fixed, target, keys, exclude)) as (left, right):
-        before, after = prepare_pair(left, right, target, keys, exclude)
+    # Each table feeds many statistics and fits: it is computed once.  A table compared with itself is measured once.
+    unchanged = fixed is original
+    tables = [original] if unchanged else [original, fixed]
+    with kept(*[_used(t, target, keys, exclude) for t in tables]) as used:
+        sides = [prepare_table(used[0], target, keys, exclude)] if unchanged else prepare_pair(*used, target, keys, exclude)
         scored = together(
             original.sparkSession,
             [
                 lambda t=t: {r["model"]: r for r in cross_validate(t, models, identity, seed, folds, **size).collect()}
-                for t in (before, after)
+                for t in sides
             ],
         )
     rows = [
-        (dataset, m, metric, scored[0][m][metric], scored[1][m][metric])
+        (dataset, m, metric, scored[0][m][metric], scored[-1][m][metric])
         for m in models
         for metric in ("accuracy", "f1", "roc_auc")
     ]
