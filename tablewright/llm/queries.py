@@ -47,3 +47,23 @@ def op10_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     from tablewright.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    from tablewright.llm.lang_id import identify, learn
+
+    docs = table(spark, sf, "documents")
+    held = remainder(F.col("doc_id"), 3) == 1
+    model = learn(docs.where(~held))
+    answered = docs.select("doc_id", identify(model, F.col("text"), spark).alias("a"))
+    return answered.select("doc_id", held.alias("held_out"), F.col("a.language").alias("lang_pred"), "a.score", "a.accepted")
+
+
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    from tablewright.llm.toxicity import CUT, learn, toxicity
+
+    docs = table(spark, sf, "documents")
+    held = remainder(F.col("doc_id"), 3) == 1
+    model = learn(docs, table(spark, sf, "labels"), ~held)
+    scored = docs.select("doc_id", toxicity(model, F.col("text"), spark).alias("score"))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
