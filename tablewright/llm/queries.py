@@ -67,3 +67,117 @@ def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     model = learn(docs, table(spark, sf, "labels"), ~held)
     scored = docs.select("doc_id", toxicity(model, F.col("text"), spark).alias("score"))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    from tablewright.llm.packing import pack
+
+    pieces = pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_piece_encoding(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    from tablewright.llm.pieces import encode_texts
+
+    encoded = encode_texts(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    n = (F.octet_length("ids") / 4).cast("long")
+    return encoded.select("doc_id", n.alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "round_trip")
+
+
+def op9_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files source/thousand/hundred/doc_id; any file with a licence line speaks for its directory."""
+    from tablewright.llm.licenses import license_scan
+
+    docs = table(spark, sf, "documents")
+    step = lambda size: F.floor(F.col("doc_id") / size).cast("string")
+    path = F.concat_ws("/", "source", step(10000), step(100), F.col("doc_id").cast("string"))
+    found = license_scan(docs.select(path.alias("path"), "text"), is_license_file=F.col("license").isNotNull())
+    doc_id = F.element_at(F.split("path", "/"), -1).cast("long")
+    return found.select(doc_id.alias("doc_id"), "path", "license", "score", "origin", "origin_path", "unit")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_lm_score, op2_quality_cascade, op3_chat_format, op4_language_id, op5_packing, op6_toxicity, op7_exact_dedup,
+        op8_piece_encoding, op9_license_scan, op10_near_dedup,
+    )
+}
+
+_OP2 = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i+7], ' ') AS w
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM cut WHERE len(words) >= 8)
+), repeated AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i, unnest(range(0, 8)) AS j FROM repeated) GROUP BY doc_id
+), m AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, w -> length(w))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
+    len(list_filter(words, w -> length(w) > 1 AND w = upper(w) AND w <> lower(w))) AS n_shouted
+  FROM cut LEFT JOIN covered c USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 2 * n_symbols > n_words OR 100 * n_dup_lines > 40 * n_lines
+    OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 100 * n_shouted > 60 * n_words) AS kept
+FROM m
+"""
+
+_OP3 = r"""
+WITH turns AS (
+  SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, length(text) + length(regexp_replace(text, '[^\\\[\]<]', '', 'g')) AS long_text,
+    length(role) + length(regexp_replace(role, '[^\\\[\]<]', '', 'g')) AS long_role,
+    CASE WHEN conv_id IS NULL THEN NULL ELSE row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 END AS i,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before
+  FROM turns
+), f AS (
+  SELECT *, CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before = 'system' THEN i = 1 AND role = 'user'
+    WHEN before = 'user' THEN role = 'assistant' WHEN before = 'assistant' THEN role = 'user' ELSE false END AS fits
+  FROM e
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(long_text + CASE role WHEN 'system' THEN 17 WHEN 'user' THEN 15 WHEN 'assistant' THEN 8 ELSE 16 + long_role END)::BIGINT AS formatted_chars,
+  coalesce(min(i) FILTER (WHERE NOT fits), CASE WHEN arg_max(role, i) <> 'assistant' THEN count(*) END)::BIGINT AS bad_turn
+FROM f GROUP BY conv_id
+"""
+
+_OP7 = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+_OP10 = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), w -> w <> '') AS words
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i+4], ' ') AS s
+  FROM (SELECT doc_id, words, unnest(CASE WHEN len(words) = 0 THEN [] ELSE range(1, greatest(len(words) - 3, 2)) END) AS i FROM cut)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)
+), reach AS (SELECT doc_id AS a, doc_id AS b FROM cut UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT c.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, min(r.b) AS component_id, c.doc_id = min(r.b) AS kept
+FROM cut c LEFT JOIN sizes s USING (doc_id) JOIN reach r ON r.a = c.doc_id GROUP BY c.doc_id, s.n
+"""
+
+ORACLES = {"op2_quality_cascade": _OP2, "op3_chat_format": _OP3, "op7_exact_dedup": _OP7, "op10_near_dedup": _OP10}
