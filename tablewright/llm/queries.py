@@ -110,8 +110,8 @@ QUERIES = {
 
 _OP2 = r"""
 WITH cut AS (
-  SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS words,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM documents
 ), windows AS (
   SELECT doc_id, i, array_to_string(words[i:i+7], ' ') AS w
@@ -121,10 +121,10 @@ WITH cut AS (
 ), covered AS (
   SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i, unnest(range(0, 8)) AS j FROM repeated) GROUP BY doc_id
 ), m AS (
-  SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, w -> length(w))), 0)::BIGINT AS word_chars,
+  SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
     coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
-    len(list_filter(words, w -> length(w) > 1 AND w = upper(w) AND w <> lower(w))) AS n_shouted
+    len(list_filter(words, lambda w: length(w) > 1 AND w = upper(w) AND w <> lower(w))) AS n_shouted
   FROM cut LEFT JOIN covered c USING (doc_id)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
@@ -166,7 +166,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 _OP10 = r"""
 WITH RECURSIVE cut AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), w -> w <> '') AS words
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
   FROM documents
 ), shingles AS (
   SELECT DISTINCT doc_id, array_to_string(words[i:i+4], ' ') AS s
