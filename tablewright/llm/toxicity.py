@@ -211,10 +211,14 @@ def fit(texts: list[np.ndarray], y: np.ndarray, spoken: list[str], held: np.ndar
     return Model(network, share, slope, offset, cuts, languages)
 
 
-def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        ids = [buckets(t) for t in batch["text"]]
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "text": batch["text"], "ids": [i.tobytes() for i in ids]})
+def coder(languages):
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids = [buckets(t).tobytes() for t in batch["text"]]
+            spoken = [a[0] for a in languages.value.predict(list(batch["text"]))]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "spoken": spoken, "ids": ids})
+
+    return code
 
 
 def learn(docs: DataFrame, labels: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", toxic: str = "toxic") -> Model:
@@ -231,10 +235,11 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, doc_id: str = "d
     known = own_names(docs, doc_id=doc_id, text=text, lang=lang)
     short = F.size(F.split("text", r"\s+")) <= LONGEST
     rows = known.where("text IS NOT NULL").join(sample, "doc_id").where(short).select("doc_id", "toxic", "text")
-    data = rows.mapInPandas(coded, "doc_id long, toxic int, text string, ids binary").toPandas().sort_values(["doc_id", "text"])
     languages = lang_id.learn(known.where(training))
+    code = coder(spark.sparkContext.broadcast(languages))
+    data = rows.mapInPandas(code, "doc_id long, toxic int, spoken string, ids binary").toPandas().sort_values(["doc_id", "ids"])
     texts = [np.frombuffer(b, np.int32) for b in data["ids"]]
-    spoken = [a[0] for a in languages.predict(list(data["text"]))]
+    spoken = data["spoken"].tolist()
     held = np.array([zlib.crc32(b"calibration %d" % i) % 5 == 0 for i in data["doc_id"]], bool)
     return fit(texts, data["toxic"].to_numpy(np.int64), spoken, held, languages)
 
