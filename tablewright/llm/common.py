@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch; keeps a batch of long texts small in a Python worker.
-ARROW_ROWS = 1000
+#: Rows and bytes per Arrow batch; keep a batch of long texts small in a Python worker.
+ARROW_ROWS = 200
+ARROW_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -21,6 +22,7 @@ def prepare(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(ARROW_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -36,7 +36,7 @@ ROWS = 5
 BANDS = 40
 UNIVERSE = 1 << 20
 #: Shingles whose signature rows are gathered at once (ROWS * BANDS * 4 bytes each).
-GATHER = 1 << 15
+GATHER = 1 << 12
 #: Similarity of a link as a fraction.
 NUMERATOR, DENOMINATOR = 75, 100
 

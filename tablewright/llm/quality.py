@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from tablewright.llm.common import prepare
 
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 1000
 WINDOW = 8
 SYMBOLS = str.maketrans("", "", "#*$%&|<>")
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -160,9 +160,10 @@ def ordered(estimates: Sequence[tuple[Rule, float, float]]) -> list[Rule]:
 
 
 def sample_texts(docs: DataFrame, text: str, rows: int) -> list[str | None]:
-    """The first rows by hash of the text: a bounded sample that does not depend on partitioning."""
-    column = F.col(f"`{text}`").alias("text")
-    return [r["text"] for r in docs.select(column).orderBy(F.xxhash64("text")).limit(rows).collect()]
+    """About ``rows`` texts chosen by hash, at most twice as many."""
+    texts = docs.select(F.col(f"`{text}`").alias("text"))
+    share = int(rows / max(texts.count(), rows) * 1_000_003)
+    return [r["text"] for r in texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) <= share).limit(2 * rows).collect()]
 
 
 VERDICT = T.StructType(
