@@ -14,6 +14,7 @@ no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -27,11 +28,11 @@ from tablewright.llm.common import own_names, prepare, stored
 
 WINDOW = 4096
 CLOSING = 2
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 QUERY_TERMS = 16
 K1, B = 1.2, 0.75
 #: Words whose ids a task remembers.
-MEMORY = 400_000
+MEMORY = 150_000
 
 #: Texts of these characters can be cut at white space before tokenising; all others go to the tokenizer whole.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-įĲ-ɏ–—‘-”…]*")
@@ -44,14 +45,24 @@ class WordTokens:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.start, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.uses = np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        """Keep the most used half of the memory, of words used more than once."""
+        often = np.flatnonzero(self.uses > 1)
+        keep = np.sort(often[np.argsort(-self.uses[often], kind="stable")[: MEMORY // 2]])
+        words = list(self.place)
+        self.place = {words[k]: i for i, k in enumerate(keep.tolist())}
+        sizes, starts = self.size[keep], self.start[keep]
+        begin = np.cumsum(sizes) - sizes
+        self.pool = self.pool[np.repeat(starts - begin, sizes) + np.arange(int(sizes.sum()))]
+        self.start, self.size, self.uses = begin, sizes, self.uses[keep] // 2
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         whole = [i for i, t in enumerate(texts) if "<|" in t or not PLAIN.fullmatch(t)]
@@ -66,9 +77,11 @@ class WordTokens:
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
             self.start = np.append(self.start, len(self.pool) + np.cumsum(sizes) - sizes)
             self.size = np.append(self.size, sizes)
+            self.uses = np.append(self.uses, np.zeros(len(new), np.int64))
             self.pool = np.append(self.pool, np.array([i for f in found for i in f], np.uint32))
         lengths = np.array([len(w) for w in words], np.int64)
         at = np.fromiter((self.place[w] for ws in words for w in ws), np.int64, int(lengths.sum()))
+        self.uses += np.bincount(at, minlength=len(self.uses))
         sizes = self.size[at]
         begin = np.cumsum(sizes) - sizes
         flat = self.pool[np.repeat(self.start[at] - begin, sizes) + np.arange(int(sizes.sum()))]
@@ -183,7 +196,7 @@ def packed_shard(idf: np.ndarray, average: float, window: int):
         for doc, start, length, number, offset in fill(texts, Index(texts, idf, average), window):
             ids = texts[doc][start : start + length].astype("<u4").tobytes()
             rows.append((names[doc], start, length, len(texts[doc]), first + number, offset, ids))
-            if len(rows) == 2000:
+            if len(rows) == 200:
                 yield pd.DataFrame(rows, columns=columns)
                 rows = []
         yield pd.DataFrame(rows, columns=columns)
