@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
 from tablewright.llm.common import ascii_words, own_names, prepare, stored
@@ -116,7 +117,7 @@ def set_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"node": batch["node"], "keys": [k.tobytes() for k in keys]})
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def linked(one: pd.Series, other: pd.Series) -> pd.Series:
     def alike(x: bytes, y: bytes) -> bool:
         a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

@@ -5,7 +5,8 @@ keeps its largest response, and a linear layer gives the logit. The first embedd
 log odds of a bucket between the classes, so that rare tell-tale words are seen from the start; everything is then
 trained by stochastic gradient descent (Adam). Training uses a bounded sample chosen by hash: about ``MOST_TOXIC`` and
 ``MOST_CLEAN`` labelled texts of at most ``LONGEST`` words. A fifth of it is set aside for calibration: a logistic map
-of the logit, and for each language the cut that separates best, which is moved to ``CUT``. The language is predicted
+of the logit, and for each language the cut that separates best while hardly any clean text exceeds it, which is moved
+to ``CUT``. The language is predicted
 from the text. Scoring always reads whole texts.
 
 Cases: NULL and empty texts are scored from the bias alone; conflicting labels of one id count as toxic; without labels
@@ -36,6 +37,10 @@ WIDTHS = (1, 2, 3)
 EPOCHS = 4
 BATCH = 32
 CUT = 0.7
+#: Share of clean calibration texts that may exceed the cut.
+FALSE_ALARMS = 0.005
+#: Toxic and clean texts that a calibration needs at least.
+ENOUGH = 20
 #: Words scored at once.
 CHUNK = 200_000
 PAD = max(WIDTHS) - 1
@@ -172,13 +177,14 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def best_cut(z: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the gap whose cut has the best F1; a cut right above the clean texts where none is toxic."""
+    """The middle of the gap with the best F1 among the cuts that at most FALSE_ALARMS of the clean texts exceed."""
     order = np.argsort(-z, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    i = int(np.argmax(f1))
-    below = z[order][i + 1] if i + 1 < len(z) else z[order][i] - 1
-    return float((z[order][i] + below) / 2)
+    ranked = np.r_[z[order][0] + 1, z[order], z[order][-1] - 1]
+    hits, alarms = (np.r_[0, np.cumsum(v[order])] for v in (y, 1 - y))
+    f1 = 2 * hits / np.maximum(hits + alarms + y.sum(), 1)
+    f1[alarms > FALSE_ALARMS * (1 - y).sum()] = -1
+    i = int(np.argmax(f1))  # the first i texts are above the cut
+    return float((ranked[i] + ranked[i + 1]) / 2)
 
 
 def fit(texts: list[np.ndarray], y: np.ndarray, spoken: list[str], held: np.ndarray, languages: lang_id.Model) -> Model:
@@ -199,14 +205,15 @@ def fit(texts: list[np.ndarray], y: np.ndarray, spoken: list[str], held: np.ndar
         for part in np.array_split(random.permutation(train), max(1, len(train) // BATCH)):
             network.train([texts[i] for i in part], y[part].astype(np.float32), 0.01 / (1 + epoch))
     network.moments = {}
-    rows = np.flatnonzero(held) if 0 < y[held].sum() < held.sum() else np.arange(len(y))
+    enough = min(y[held].sum(), (1 - y[held]).sum()) >= ENOUGH
+    rows = np.flatnonzero(held) if enough else np.arange(len(y))
     z = network.logits([texts[i] for i in rows])
     slope, offset = platt(z, y[rows])
     z = slope * z + offset
     cuts = {"": best_cut(z, y[rows])}
     for language in set(spoken):
         own = np.array([spoken[i] == language for i in rows])
-        if min(y[rows][own].sum(), (1 - y[rows][own]).sum()) >= 20:
+        if min(y[rows][own].sum(), (1 - y[rows][own]).sum()) >= ENOUGH:
             cuts[language] = best_cut(z[own], y[rows][own])
     return Model(network, share, slope, offset, cuts, languages)
 
