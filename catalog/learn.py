@@ -308,7 +308,7 @@ def s09(spark, sf):
     model, _ = _trained(spark, sf)
     path = S.shared_folder(spark, "model")
     model.save(path)
-    return G.GainModel.load(path, "rf").predict(profiles(spark, sf), ["profile_id"])
+    return G.GainModel.load(path).predict(profiles(spark, sf), ["profile_id"])
 
 
 # ---- outcomes: every customer is a registered dataset, lab = predicted by a rule, actual = measured ----------------

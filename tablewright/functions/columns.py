@@ -79,8 +79,8 @@ def groupable(df: DataFrame, columns: Sequence[str] | None = None) -> list[Colum
 
 
 def hash_key(keys: Sequence[str], seed: int | str) -> Column:
-    """A reproducible pseudo-random sort key: md5 over the key columns and the seed, as hex text."""
-    text = [col(k).cast("string") for k in keys]
+    """A reproducible pseudo-random sort key: md5 over the key columns and the seed, as hex text; never NULL."""
+    text = [F.coalesce(col(k).cast("string"), F.lit("\x00")) for k in keys]
     joined = text[0] if len(text) == 1 else F.concat_ws("|", *text)
     return F.md5(F.concat(joined, F.lit(f"-{seed}")))
 

@@ -76,13 +76,15 @@ def fix_missing(
 
 def remove_duplicates(df: DataFrame, keep: str | bool = "first") -> DataFrame:
     """Keep one of each group of equal rows (first and last are the same row), or none when ``keep=False``."""
+    maps = {f.name for f in df.schema if isinstance(f.dataType, T.MapType)}
     if keep in ("first", "last"):
-        return df.distinct()
-    if keep is not False:
+        if not maps:
+            return df.distinct()
+    elif keep is not False:
         raise ValueError(f"unknown keep {keep!r}")
-    keys = groupable(df)
-    single = df.select(*keys).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1")
-    maps = {f.name for f in df.schema if isinstance(f.dataType, T.MapType)}
+    single = df.select(*groupable(df)).groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    if keep is False:
+        single = single.filter("_n = 1")
     return single.select(*[F.map_from_entries(col(c)).alias(c) if c in maps else col(c) for c in df.columns])
 
 

@@ -131,12 +131,18 @@ class GainModel:
         return spark.createDataFrame(weights, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(top)
 
     def save(self, path: str) -> None:
-        self._trained().write().overwrite().save(path)
+        """The fitted pipeline, and beside it the kind of model, on which the interval depends."""
+        from pyspark.sql import SparkSession
+
+        self._trained().write().overwrite().save(f"{path}/model")
+        SparkSession.getActiveSession().createDataFrame([(self.kind,)], "kind string").write.mode("overwrite").parquet(f"{path}/kind")
 
     @classmethod
-    def load(cls, path: str, kind: str = "rf") -> GainModel:
-        loaded = cls(kind)
-        loaded.model = PipelineModel.load(path)
+    def load(cls, path: str) -> GainModel:
+        from pyspark.sql import SparkSession
+
+        loaded = cls(SparkSession.getActiveSession().read.parquet(f"{path}/kind").first()["kind"])
+        loaded.model = PipelineModel.load(f"{path}/model")
         return loaded
 
 

@@ -113,7 +113,7 @@ def cross_validate(
 
     def run(name: str, i: int) -> tuple[DataFrame, float] | None:
         try:
-            fitted = build_model(name, rows, len(classes), seed, **size).fit(folded.filter(F.col("fold") != i))
+            fitted = build_model(name, max(1, rows - rows // k), len(classes), seed, **size).fit(folded.filter(F.col("fold") != i))
             scored = fitted.transform(folded.filter(F.col("fold") == i))
             kept = scored.select(F.lit(name).alias("model"), F.lit(i).alias("fold"), "label", "prediction")
             return kept, roc_auc(scored, classes)

@@ -18,9 +18,10 @@ def issue_score(issues: Column) -> Column:
 
 
 def latest_registrations(registry: DataFrame) -> DataFrame:
-    """One record per dataset, the last registered; combined before the shuffle, so a busy dataset is no hot key."""
+    """One record per dataset, the last registered (of several at one time the last as text); combined before the
+    shuffle, so a busy dataset is no hot key."""
     record = F.struct(*[F.col(c) for c in registry.columns if c != "dataset_id"])
-    return registry.groupBy("dataset_id").agg(F.max_by(record, "registered_at").alias("r")).select("dataset_id", "r.*")
+    return registry.groupBy("dataset_id").agg(F.max_by(record, F.struct("registered_at", F.to_json(record))).alias("r")).select("dataset_id", "r.*")
 
 
 def unregistered(outcomes: DataFrame, registry: DataFrame) -> DataFrame:

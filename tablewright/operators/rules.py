@@ -163,7 +163,10 @@ def built_in_rules(spark: SparkSession) -> DataFrame:
 
 
 def register_rules(rules: DataFrame, added: DataFrame) -> DataFrame:
-    """Add rules; a domain registered again replaces the earlier row."""
+    """Add rules; a domain registered again replaces the earlier row, also within the added ones (in their row order)."""
+    record = F.struct(*[F.col(c) for c in added.columns])
+    numbered = added.select(F.lower("domain").alias("_d"), record.alias("_r"), F.monotonically_increasing_id().alias("_o"))
+    added = numbered.groupBy("_d").agg(F.max_by("_r", "_o").alias("_r")).select("_r.*")
     kept = rules.join(added.select(F.lower("domain").alias("_d")), F.lower(rules["domain"]) == F.col("_d"), "left_anti")
     return kept.unionByName(added)
 

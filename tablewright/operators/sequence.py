@@ -33,7 +33,10 @@ def split_points(df: DataFrame, order: str, blocks: int) -> list:
 
 
 def block_of(order: Column, points: Sequence) -> Column:
-    """Index of the block an order value falls in: a balanced tree of comparisons, log2(blocks) deep."""
+    """Index of the block an order value falls in: a balanced tree of comparisons, log2(blocks) deep.
+
+    NULL has the first block to itself, whatever the number of blocks.
+    """
 
     def choose(low: int, high: int) -> Column:
         if low == high:
@@ -41,7 +44,7 @@ def block_of(order: Column, points: Sequence) -> Column:
         middle = (low + high) // 2
         return F.when(order < F.lit(points[middle]), choose(low, middle)).otherwise(choose(middle + 1, high))
 
-    return choose(0, len(points))
+    return F.when(order.isNull(), 0).otherwise(choose(0, len(points)) + 1)
 
 
 def fill_in_order(
@@ -50,7 +53,7 @@ def fill_in_order(
     """Replace each NULL by the last value before it, else by the first value after it, in every column.
 
     ``order_by`` must be unique within a partition.  Leading NULLs can only take the partition's first value, so backward filling
-    needs one aggregate, no second window.
+    needs one aggregate, no second window.  Rows without an order value come first: they take that first value and give none.
     """
     keys = list(partition_by)
     filled = [c for c in df.columns if c not in {order_by, *keys}]
@@ -91,7 +94,11 @@ def fill_in_order(
     for j, k in enumerate(keys):
         condition = condition & col(k).eqNullSafe(F.col(f"_k{j}"))
     local = work.select(
-        "*", *[F.last(col(c), ignorenulls=True).over(so_far).alias(f"_s{i}") for i, c in enumerate(filled)]
+        "*",
+        *[
+            F.when(col(order_by).isNull(), col(c)).otherwise(F.last(col(c), ignorenulls=True).over(so_far)).alias(f"_s{i}")
+            for i, c in enumerate(filled)
+        ],
     )
     joined = local.join(carried, condition)
     position = {c: i for i, c in enumerate(filled)}

@@ -19,8 +19,15 @@ from tablewright.operators.rules import DEFAULT_RULE, RULES_SCHEMA
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder; a local one only where none is configured."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A new folder below the cluster's shared checkpoint folder.
+
+    Without one, a local session takes the temporary folder of its machine; on a cluster that is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.gettempdir()
     return f"{root.rstrip('/')}/tablewright/{name}-{uuid.uuid4().hex}"
 
 

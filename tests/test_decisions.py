@@ -155,10 +155,21 @@ def test_gain_model_learns_saves_and_loads(spark, tmp_path):
     assert report["train_r2"] > 0.99 and report["cv_r2_mean"] > 0.99
     path = str(tmp_path / "model")
     model.save(path)
-    again = G.GainModel.load(path, "lr").predict(history)
+    again = G.GainModel.load(path).predict(history)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, model.predict(history).collect()))
     with pytest.raises(ValueError):
         G.GainModel("lr").train(history.limit(0))
     forest = G.GainModel("rf", trees=5, depth=4)
     forest.train(history, folds=2)
     assert forest.importances(5).first()["feature"] == "missing_values"
+
+
+def test_a_later_rule_and_a_tied_registration_give_one_row(spark):
+    from tablewright.operators.outcomes import latest_registrations
+    from tablewright.operators.rules import built_in_rules, custom_rules, get_rules, register_rules
+
+    added = custom_rules(spark, "Mine", max_imbalance_ratio=1.0).union(custom_rules(spark, "mine", max_imbalance_ratio=9.0))
+    rules = register_rules(built_in_rules(spark), added.coalesce(1))
+    assert rules.filter("lower(domain) = 'mine'").count() == 1 and get_rules(rules, "mine")["max_imbalance_ratio"] == 9.0
+    registry = spark.sql("SELECT 'd' AS dataset_id, timestamp'2024-01-01' AS registered_at, x AS notes FROM VALUES ('a'), ('b') AS t(x)")
+    assert latest_registrations(registry).first()["notes"] == "b"

@@ -193,3 +193,34 @@ def test_mode_and_alignment(spark):
     assert [r["y"] for r in fill_mode(df, "y").collect()] == ["b", "a", "a"]
     a, b = align(spark.createDataFrame([(1, 2)], "z int, a int"), spark.createDataFrame([(3,)], "m int"))
     assert a.columns == b.columns == ["a", "m", "z"] and tuple(b.first()) == (0, 3, 0)
+
+
+@pytest.mark.parametrize("digits", [0, 1, 2])
+def test_quota_and_rank_keep_rows_without_a_key(spark, digits):
+    from tablewright.operators.ranking import flag_quota, hash_rank
+
+    df = spark.createDataFrame([(i if i % 10 else None, "x", i) for i in range(200)], "id int, cls string, n int")
+    quotas = spark.createDataFrame([("x", 50)], "cls string, quota long")
+    flagged = flag_quota(df, quotas, ["cls"], ["id", "n"], 42, digits, 1)
+    assert flagged.count() == 200 and flagged.filter("selected").count() == 50
+    alone = flag_quota(df, quotas, ["cls"], ["id"], 42, digits, 1)
+    assert alone.count() == 200 and alone.filter("selected").count() == 50
+    ranked = hash_rank(df, ["cls"], ["id"], 42, digits, "r")
+    assert sorted(r["r"] for r in ranked.collect()) == list(range(1, 201))
+
+
+@pytest.mark.parametrize("blocks", [1, 3, 64])
+def test_fill_with_missing_order_values(spark, blocks):
+    from tablewright.operators.sequence import fill_in_order
+
+    df = spark.createDataFrame([(1, None), (2, "b"), (None, "z"), (4, None), (None, None)], "o int, v string")
+    got = sorted(((r["o"], r["v"]) for r in fill_in_order(df, "o", (), blocks).collect()), key=repr)
+    assert got == [(1, "b"), (2, "b"), (4, "b"), (None, "b"), (None, "z")]
+
+
+def test_duplicates_with_maps(spark):
+    from tablewright.operators.fixes import remove_duplicates
+
+    df = spark.sql("SELECT map('a', 1, 'b', 2) AS m, 1 AS k UNION ALL SELECT map('b', 2, 'a', 1), 1 UNION ALL SELECT map('c', 3), 2")
+    assert remove_duplicates(df).count() == 2 and remove_duplicates(df, keep=False).count() == 1
+    assert remove_duplicates(df).schema == df.schema or remove_duplicates(df).columns == df.columns
