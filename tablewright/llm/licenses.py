@@ -97,14 +97,15 @@ def own_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
     idf, foreign = corpus_weights(files, vocabulary)
     vectors = [{w: n * idf[w] for w, n in bag.items()} for bag in bags]
     norms = [math.sqrt(sum(x * x for x in v.values())) for v in vectors]
-    needed = "(?i)(" + "|".join(re.escape(a) for a in anchors(vectors, threshold)) + ")"
+    needed = F.array(*[F.lit(a) for a in anchors(vectors, threshold)])
+    anchored = lambda c: F.arrays_overlap(F.split(F.lower(c), NOT_WORD), needed)
     postings = spark.createDataFrame(
         [(w, t, x / norm, idf[w]) for t, (v, norm) in enumerate(zip(vectors, norms)) for w, x in v.items()],
         "term string, template int, y double, idf double",
     )
     weights = F.broadcast(postings.select("term", "idf").distinct())  # bounded by the templates
-    with_anchor = files.where(F.col("text").rlike(needed))
-    lines = with_anchor.select("key", F.posexplode(F.split("text", "\n")).alias("no", "unit")).where(F.col("unit").rlike(needed))
+    with_anchor = files.where(anchored("text"))
+    lines = with_anchor.select("key", F.posexplode(F.split("text", "\n")).alias("no", "unit")).where(anchored("unit"))
     units = lines.union(with_anchor.select("key", F.lit(-1).alias("no"), F.col("text").alias("unit")))
     terms = units.select("key", "no", F.explode(words(F.col("unit"))).alias("term")).groupBy("key", "no", "term").agg(F.count(F.lit(1)).alias("tf"))
     terms = stored(terms.join(weights, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(foreign))), "unit-terms")
