@@ -43,6 +43,7 @@ def stream_state(spark: SparkSession, path: str, schema, doc_id: str, text: str,
         "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores reserve no disk
         "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"),
     }.items():
         session.conf.set(key, value)
