@@ -6,10 +6,11 @@ k, gives coordinate k as the smallest place that any shingle takes. Bands of the
 link is confirmed by the Jaccard similarity of the full sets, in whole numbers.
 
 Equal sets are one node, whatever the number of their rows. Within a bucket no pairs are enumerated at first: each node
-is compared with the smallest and the largest node of its bucket. The confirmed links give components, and then only
-nodes of one bucket that are in different components are compared, so a group of thousands of copies costs a few
-comparisons per copy, while no candidate link between components is left out. Components come from repeated hooking of
-larger nodes to smaller ones in distributed tables.
+is compared with two hubs, the smallest and the largest node of all its buckets. The confirmed links give components.
+Where a bucket still holds several, its nodes are compared with the bucket's smallest and largest node, and after that
+every pair of its nodes that are in different components. So a group of thousands of copies costs two comparisons per
+copy, while no candidate link between components is left out. Components come from repeated hooking of larger nodes to
+smaller ones in distributed tables.
 
 With BANDS bands of ROWS rows a pair of similarity s becomes a candidate with probability 1 - (1 - s**ROWS)**BANDS:
 0.99998 at 0.75.
@@ -178,19 +179,32 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("low"), F.max("node").alias("high")).where("nodes > 1")
     buckets = stored(placed.join(shared, "bucket"), "buckets")
     size = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"))
-    star = (
-        buckets.select("node", "n", F.explode(F.array("low", "high")).alias("b"))
-        .where("node <> b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    )
-    sized = star.join(size, "b").join(size.toDF("a", "na"), "a").where(close_sizes("na", "nb")).select("a", "b")
-    sized = stored(sized, "pairs")
+
+    def sized(star: DataFrame) -> DataFrame:
+        """Distinct pairs of a node and another one, b, that their sizes allow to be links."""
+        pairs = star.where("node <> b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+        return pairs.join(size, "b").join(size.toDF("a", "na"), "a").where(close_sizes("na", "nb")).select("a", "b")
+
+    hubs = buckets.groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    tried = stored(sized(hubs.select("node", F.explode(F.array("low", "high")).alias("b"))), "pairs")
     # One text for each node in a shared bucket, through any row that has its set.
     owner = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "n")
     texts = stored(one_text(docs, signed, owner), "texts")
-    links = confirmed(sized, texts)
+    links = confirmed(tried, texts)
     roots = components(links)
+    # The ends of buckets that still hold several components, for nodes of other components than theirs.
+    member = members(buckets, roots)
+    ends = member.groupBy("bucket").agg(
+        F.min_by("root", "node").alias("low_root"), F.max_by("root", "node").alias("high_root"), (F.min("root") != F.max("root")).alias("open")
+    ).where("open").drop("open")
+    end = F.explode(F.array(F.struct(F.col("low").alias("b"), F.col("low_root").alias("r")), F.struct(F.col("high").alias("b"), F.col("high_root").alias("r"))))
+    star = member.join(ends, "bucket").select("node", "root", end.alias("e")).where("root <> e.r").select("node", F.col("e.b").alias("b"))
+    more = stored(sized(star).join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not more.isEmpty():
+        tried, links = tried.union(more), links.union(confirmed(more, texts))
+        roots = components(links)
+        member = members(buckets, roots)
     # What the stars left: nodes of one bucket in different components.
-    member = stored(buckets.select("bucket", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
     groups = member.groupBy("bucket", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     split = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
     groups = stored(groups.join(split, "bucket", "left_semi"), "groups")
@@ -203,12 +217,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         across.select("bucket", "ra", "rb").join(a, ["bucket", "ra"]).join(b, ["bucket", "rb"])
         .where(close_sizes("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
-    rest = stored(rest.join(sized, ["a", "b"], "left_anti"), "rest")
+    rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         roots = components(links.union(confirmed(rest, texts)))
     return assigned(signed, nodes, roots)
 
 
+def members(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """The nodes of every bucket with the component that each is in so far."""
+    rooted = buckets.select("bucket", "node", "n", "low", "high").join(roots, "node", "left")
+    return stored(rooted.withColumn("root", F.coalesce("root", "node")), "members")
+
+
 def one_text(docs: DataFrame, signed: DataFrame, owner: DataFrame) -> DataFrame:
     """(node, text) of one row for each node; rows without an id, or that share one, are found by their set again."""
     by_id = signed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
