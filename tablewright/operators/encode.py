@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.columns import broadcast_if, col, numeric_columns, resolve_target, string_columns
-from tablewright.operators.fixes import fill_mean
+from tablewright.operators.fixes import column_means, fill_values
 from tablewright.operators.sequence import ordinal_codes
 
 MISSING_LABEL = "MISSING"
@@ -76,10 +77,18 @@ def encode_target(df: DataFrame, target: str | None = None) -> DataFrame:
     return apply_codes(df, name, code_table(df, column=name))
 
 
-Fitted = dict[str, tuple[DataFrame, int]]
+Codes = dict[str, tuple[DataFrame, int]]
 
 
-def encode_categoricals(df: DataFrame, columns: Sequence[str], fitted: Fitted | None = None) -> tuple[DataFrame, Fitted]:
+@dataclass
+class Fitted:
+    """What the preparation of one table learned: means of numeric columns, code tables of categorical ones."""
+
+    means: dict[str, float | None]
+    codes: Codes
+
+
+def encode_categoricals(df: DataFrame, columns: Sequence[str], fitted: Codes | None = None) -> tuple[DataFrame, Codes]:
     """NULL becomes the label MISSING, then every value its sorted code; returns the fitted code tables too."""
     if fitted is None:
         tables = [code_table(df, column=c, fill=MISSING_LABEL) for c in columns]
@@ -116,9 +125,13 @@ def shared_target_codes(left: DataFrame, right: DataFrame, target: str) -> tuple
 def prepare_features(
     df: DataFrame, target: str, fitted: Fitted | None = None, keep: Sequence[str] = ()
 ) -> tuple[DataFrame, Fitted]:
-    """Mean-fill numeric features and code categorical ones; columns of other types are dropped unless kept."""
+    """Mean-fill numeric features and code categorical ones; columns of other types are dropped unless kept.
+
+    With ``fitted`` of another table (the train part), its means and codes are used and nothing is learned here.
+    """
     untouched = {target, *keep}
     numeric, strings = numeric_columns(df, untouched), string_columns(df, untouched)
     df = df.select(*[col(c) for c in df.columns if c in {*numeric, *strings, *untouched}])
-    df = fill_mean(df, numeric)
-    return encode_categoricals(df, strings, fitted)
+    means = column_means(df, numeric) if fitted is None else {c: fitted.means.get(c) for c in numeric}
+    df, codes = encode_categoricals(fill_values(df, means), strings, None if fitted is None else fitted.codes)
+    return df, Fitted(means, codes)

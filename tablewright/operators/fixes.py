@@ -34,18 +34,23 @@ def drop_missing(df: DataFrame, subset: Sequence[str] | None = None) -> DataFram
 
 def fill_mean(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     names = numeric_columns(df) if columns is None else list(columns)
-    if not names:
-        return df
-    means = df.agg(*[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(names)]).first()
-    return _fill(df, {c: means[f"m{i}"] for i, c in enumerate(names)})
+    return fill_values(df, column_means(df, names)) if names else df
+
+
+def column_means(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    """The mean of each column, all in one scan; None for a column without values."""
+    if not columns:
+        return {}
+    means = df.agg(*[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    return {c: means[f"m{i}"] for i, c in enumerate(columns)}
 
 
 def fill_median(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     names = numeric_columns(df) if columns is None else list(columns)
-    return _fill(df, {c: q[0] for c, q in quantiles(df, names, (0.5,)).items()})
+    return fill_values(df, {c: q[0] for c, q in quantiles(df, names, (0.5,)).items()})
 
 
-def _fill(df: DataFrame, values: dict[str, float | None]) -> DataFrame:
+def fill_values(df: DataFrame, values: dict[str, float | None]) -> DataFrame:
     """Filled columns become doubles, as a mean of integers is no integer."""
     return df.select(
         *[

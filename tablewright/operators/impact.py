@@ -192,7 +192,7 @@ def split_and_fix(
 def prepare_train_test(
     train: DataFrame, test: DataFrame, target: str, keys: Sequence[str], exclude: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame]:
-    """Encoders are fitted on the train part and applied to the test part; an unseen value gets the next free code."""
+    """Means and encoders are fitted on the train part and applied to the test part; an unseen value gets the next free code."""
     left, right = (_with_id(t, target, keys, exclude).filter(col(target).isNotNull()) for t in (train, test))
     codes = code_table(left, column=target)
     size = row_counts(codes)[0]

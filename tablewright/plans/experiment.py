@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions import scoring
-from tablewright.operators.corrupt import inject_noise
 from tablewright.operators.encode import row_counts
 from tablewright.operators.fixes import apply_fixes
 from tablewright.operators.flat import flat_profile
@@ -66,13 +65,15 @@ def run_experiment(experiment: Experiment, config: dict | None = None) -> DataFr
 
 
 def run_experiments(spark: SparkSession, experiments: Sequence[Experiment], config: dict | None = None) -> DataFrame:
-    """All experiments; one that fails is reported and left out."""
-    done = [spark.createDataFrame([], RESULT_SCHEMA)]
+    """All experiments; one that fails leaves one row with its name and error, the others have no error."""
+    schema = f"{RESULT_SCHEMA}, error string"
+    done = [spark.createDataFrame([], schema)]
     for e in experiments:
         try:
-            done.append(run_experiment(e, config))
+            done.append(run_experiment(e, config).withColumn("error", F.lit(None).cast("string")))
         except Exception as error:  # one bad table must not end the others
-            print(f"experiment {e.name} failed: {type(error).__name__}: {error}"[:200])
+            nothing = [None] * (len(done[0].columns) - 2)
+            done.append(spark.createDataFrame([(e.name, *nothing, f"{type(error).__name__}: {error}"[:500])], schema))
     return reduce(DataFrame.unionByName, done)
 
 
@@ -145,7 +146,7 @@ def decide(
     flagged = stratified_split(df.filter(F.col(target).isNotNull()), target, keys)
     train, test = (flagged.filter(F.col("is_test") == part).drop("is_test") for part in (False, True))
     options = {"models": list(models), **size} if task == "classification" else {}
-    own = task_impact(task, train, test, inject_noise(test, keys, columns=list(features)), features, target, **options).first()
+    own = task_impact(task, train, test, apply_fixes(test, config, target, keys), features, target, **options).first()
     return df.sparkSession.createDataFrame(
         [
             (
