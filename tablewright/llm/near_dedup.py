@@ -6,7 +6,8 @@ k, gives coordinate k as the smallest place that any shingle takes. Bands of the
 link is confirmed by the Jaccard similarity of the full sets, in whole numbers.
 
 Equal sets are one node, whatever the number of their rows. Within a bucket no pairs are enumerated at first: each node
-is compared with two hubs, the smallest and the largest node of all its buckets. The confirmed links give components.
+is compared with two hubs, the nodes that are most often the smallest and the largest of its buckets and so share most
+bands with it. The confirmed links give components.
 Where a bucket still holds several, its nodes are compared with the bucket's smallest and largest node, and after that
 every pair of its nodes that are in different components. So a group of thousands of copies costs two comparisons per
 copy, while no candidate link between components is left out. Components come from repeated hooking of larger nodes to
@@ -185,7 +186,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         pairs = star.where("node <> b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
         return pairs.join(size, "b").join(size.toDF("a", "na"), "a").where(close_sizes("na", "nb")).select("a", "b")
 
-    hubs = buckets.groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    hubs = buckets.groupBy("node").agg(F.mode("low", True).alias("low"), F.mode("high", True).alias("high"))
     tried = stored(sized(hubs.select("node", F.explode(F.array("low", "high")).alias("b"))), "pairs")
     # One text for each node in a shared bucket, through any row that has its set.
     owner = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "n")
