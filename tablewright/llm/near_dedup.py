@@ -8,10 +8,11 @@ link is confirmed by the Jaccard similarity of the full sets, in whole numbers.
 Equal sets are one node, whatever the number of their rows. Within a bucket no pairs are enumerated at first: each node
 is compared with two hubs, the nodes that are most often the smallest and the largest of its buckets and so share most
 bands with it. The confirmed links give components.
-Where a bucket still holds several, its nodes are compared with the bucket's smallest and largest node, and after that
-every pair of its nodes that are in different components. So a group of thousands of copies costs two comparisons per
-copy, while no candidate link between components is left out. Components come from repeated hooking of larger nodes to
-smaller ones in distributed tables.
+Where a bucket still holds several, its nodes are compared with the bucket's smallest and largest node. The nodes of
+buckets that are still in different components after that are compared where they share one of the rare shingles that
+a link cannot do without. So a group of thousands of copies costs two comparisons per copy, a passage that unlike texts
+share costs none, and no link between nodes of one bucket is left out. Components come from repeated hooking of larger
+nodes to smaller ones in distributed tables.
 
 With BANDS bands of ROWS rows a pair of similarity s becomes a candidate with probability 1 - (1 - s**ROWS)**BANDS:
 0.99998 at 0.75.
@@ -40,6 +41,8 @@ BANDS = 40
 UNIVERSE = 1 << 20
 #: Shingles whose signature rows are gathered at once (ROWS * BANDS * 4 bytes each).
 GATHER = 1 << 12
+#: Most frequent shingles of a comparison that are ordered by frequency (8 bytes each); all others go before them.
+FREQUENT = 1 << 20
 #: Similarity of a link as a fraction.
 NUMERATOR, DENOMINATOR = 75, 100
 
@@ -205,25 +208,75 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         tried, links = tried.union(more), links.union(confirmed(more, texts))
         roots = components(links)
         member = members(buckets, roots)
-    # What the stars left: nodes of one bucket in different components.
-    groups = member.groupBy("bucket", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    split = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
-    groups = stored(groups.join(split, "bucket", "left_semi"), "groups")
-    left = groups.select("bucket", F.col("root").alias("ra"), F.col("least").alias("la"), F.col("most").alias("ma"))
-    right = groups.select("bucket", F.col("root").alias("rb"), F.col("least").alias("lb"), F.col("most").alias("mb"))
-    across = left.join(right, "bucket").where("ra < rb").where((F.col("ma") * DENOMINATOR >= F.col("lb") * NUMERATOR) & (F.col("mb") * DENOMINATOR >= F.col("la") * NUMERATOR))
-    a = member.select("bucket", F.col("root").alias("ra"), F.col("node").alias("a"), F.col("n").alias("na"))
-    b = member.select("bucket", F.col("root").alias("rb"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    rest = (
-        across.select("bucket", "ra", "rb").join(a, ["bucket", "ra"]).join(b, ["bucket", "rb"])
-        .where(close_sizes("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
-    rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+    # What the stars left: nodes of buckets that hold different components, by the rare shingles that a link must share.
+    open_buckets = member.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("bucket")
+    open_nodes = stored(member.join(open_buckets, "bucket", "left_semi").select("node", "n", "root").distinct(), "open")
+    rest = stored(sharing_rare(open_nodes, texts).join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         roots = components(links.union(confirmed(rest, texts)))
     return assigned(signed, nodes, roots)
 
 
+def sharing_rare(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (node, n, root) of different components that have a shingle in common among their first.
+
+    With all shingles in one order, two sets of na and nb that share at least k = 3/7 (na + nb) shingles, as links do,
+    share one of the first na - k + 1 of one and the first nb - k + 1 of the other. The order is rare before frequent,
+    so what a group of texts has in common proposes no pair unless it is most of them. Any order loses no link:
+    shingles beyond the FREQUENT most frequent go by hash.
+    """
+    spark = nodes.sparkSession
+    sets = stored(texts.join(nodes.select("node"), "node", "left_semi").mapInPandas(long_sets, "node binary, keys array<long>"), "sets")
+    often = sets.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("nodes")).where(F.col("nodes") > 2)
+    often = often.orderBy(F.desc("nodes"), "key").limit(FREQUENT).toPandas()
+    rank = spark.sparkContext.broadcast(often["key"].to_numpy(np.int64)[::-1].copy())
+    first = sets.mapInPandas(rare_first(rank), "node binary, key long, place long").join(nodes, "node")
+    groups = first.groupBy("key", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("place").alias("place"))
+    groups = stored(groups, "groups")
+    split = groups.groupBy("key").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("key")
+    groups = stored(groups.join(split, "key", "left_semi"), "groups")
+    first = stored(first.join(split, "key", "left_semi"), "first")
+
+    def reaches(place: str, most: str, other: str):
+        """The place is among the first of a set of this size that a link to a set of the other size needs."""
+        return F.col(place) <= F.col(most) - F.ceil((F.col(most) + F.col(other)) * NUMERATOR / (NUMERATOR + DENOMINATOR) - 1e-9) + 1
+
+    left = groups.select("key", F.col("root").alias("ra"), F.col("least").alias("la"), F.col("most").alias("ma"), F.col("place").alias("pa"))
+    right = groups.select("key", F.col("root").alias("rb"), F.col("least").alias("lb"), F.col("most").alias("mb"), F.col("place").alias("pb"))
+    sizes = (F.col("ma") * DENOMINATOR >= F.col("lb") * NUMERATOR) & (F.col("mb") * DENOMINATOR >= F.col("la") * NUMERATOR)
+    across = left.join(right, "key").where("ra < rb").where(sizes & reaches("pa", "ma", "lb") & reaches("pb", "mb", "la"))
+    a = first.select("key", F.col("root").alias("ra"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"))
+    b = first.select("key", F.col("root").alias("rb"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"))
+    pairs = across.select("key", "ra", "rb").join(a, ["key", "ra"]).join(b, ["key", "rb"])
+    pairs = pairs.where(close_sizes("nx", "ny") & reaches("px", "nx", "ny") & reaches("py", "ny", "nx"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def long_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"node": batch["node"], "keys": [shingles(ascii_words(t)).view(np.int64) for t in batch["text"]]})
+
+
+def rare_first(rank):
+    """The shingles of each set, rare ones first, as far as any link can need: (node, key, place from 1)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frequent = rank.value
+        by_key = np.argsort(frequent, kind="stable")
+        ordered = frequent[by_key]
+        for batch in batches:
+            for node, keys in zip(batch["node"], batch["keys"]):
+                keys = np.asarray(keys, np.int64)
+                at = np.searchsorted(ordered, keys)
+                at[at == len(ordered)] = 0
+                found = ordered[at] == keys if len(ordered) else np.zeros(len(keys), bool)
+                order = np.lexsort((keys, np.where(found, by_key[at] if len(ordered) else 0, -1)))
+                needed = len(keys) - -(-len(keys) * NUMERATOR // DENOMINATOR) + 1
+                yield pd.DataFrame({"node": [node] * needed, "key": keys[order[:needed]], "place": np.arange(1, needed + 1)})
+
+    return run
+
+
 def members(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     """The nodes of every bucket with the component that each is in so far."""
     rooted = buckets.select("bucket", "node", "n", "low", "high").join(roots, "node", "left")
