@@ -11,7 +11,7 @@ bands with it. The confirmed links give components.
 Where a bucket still holds several, its nodes are compared with the bucket's smallest and largest node. The nodes of
 buckets that are still in different components after that are compared where they share one of the rare shingles that
 a link cannot do without. So a group of thousands of copies costs two comparisons per copy, a passage that unlike texts
-share costs none, and no link between nodes of one bucket is left out. Components come from repeated hooking of larger
+share costs few, and no link between nodes of one bucket is left out. Components come from repeated hooking of larger
 nodes to smaller ones in distributed tables.
 
 With BANDS bands of ROWS rows a pair of similarity s becomes a candidate with probability 1 - (1 - s**ROWS)**BANDS:
