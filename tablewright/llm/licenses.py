@@ -3,11 +3,15 @@
 Every line of every text and every whole text is a unit. A unit's vector holds its words weighted by frequency and
 inverse document frequency, the latter counted over the whole corpus; words outside the templates' vocabulary count
 with the weight of a word that no document has, so foreign words lower the similarity. Cosines of at least
-``THRESHOLD`` are kept and the best template of a file, a line's or the file's, is its own licence.
+``THRESHOLD`` are kept and the best template of a file, a line's or the file's, is its own licence. Templates are
+passages of licences and declarations: every name of a licence in every frame ("Released under ...") and its SPDX line.
+Declarations of different licences are alike but for a word or two, so a unit matches one only if it has the words that
+tell its name apart, the version among them: a licence that is not listed is not taken for one that is.
 
 Units are first sieved without loss: a template's vector is split so that its lightest words together have a norm below
-the threshold; a unit with none of the heavier words ("anchors") cannot reach it. Only lines and files with an anchor
-are cut into words, so hardly any of the corpus is shuffled.
+the threshold; a unit with none of the heavier words ("anchors") cannot reach it. Where the rarest word that a template
+needs is rarer than these, it is the anchor. Only lines and files with an anchor are cut into words, so hardly any of
+the corpus is shuffled.
 
 A file without a licence of its own inherits from the nearest directory above it that has one. A directory's licence is
 that of its licence files: the one with the best similarity, then the smallest path. Paths are joined level by level
@@ -30,26 +34,47 @@ from tablewright.llm.common import own_names, stored
 
 THRESHOLD = 0.6
 
-# Statements by which public licences are declared (licence, statement).
-TEMPLATES = (
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+# Passages of licences that are declared without being named, or in a fixed notice (licence, statement).
+PASSAGES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    ("Apache-2.0", "This work is licensed under the Apache License, Version 2.0."),
     ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
-    ("MIT", "This work is licensed under the MIT License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+# Names by which a licence is declared (licence, its names).
+NAMES = (
+    ("AGPL-3.0", ("the GNU Affero General Public License, version 3", "the GNU Affero General Public License, version 3.0", "AGPL-3.0", "AGPL v3", "AGPLv3")),
+    ("Apache-2.0", ("the Apache License, Version 2.0", "Apache-2.0")),
+    ("BSD-2-Clause", ("the BSD 2-Clause License",)),
+    ("BSD-3-Clause", ("the BSD 3-Clause License",)),
+    ("CC0-1.0", ("CC0 1.0", "the Creative Commons Zero 1.0 Universal License")),
+    ("GPL-2.0", ("the GNU General Public License, version 2", "the GNU General Public License, version 2.0", "GPL-2.0", "GPL v2", "GPLv2")),
+    ("GPL-3.0", ("the GNU General Public License, version 3", "the GNU General Public License, version 3.0", "GPL-3.0", "GPL v3", "GPLv3")),
+    ("LGPL-2.0", ("the GNU Lesser General Public License, version 2", "the GNU Lesser General Public License, version 2.0", "LGPL-2.0", "LGPL v2", "LGPLv2")),
+    ("LGPL-2.1", ("the GNU Lesser General Public License, version 2.1", "LGPL-2.1", "LGPL v2.1", "LGPLv2.1")),
+    ("LGPL-3.0", ("the GNU Lesser General Public License, version 3", "the GNU Lesser General Public License, version 3.0", "LGPL-3.0", "LGPL v3", "LGPLv3")),
+    ("MIT", ("the MIT License",)),
+    ("MPL-2.0", ("the Mozilla Public License, version 2.0", "MPL-2.0")),
+    ("Unlicense", ("the Unlicense",)),
+    *(
+        (f"CC-{short}-{version}", (f"CC {short} {version}", f"a Creative Commons {long} {version} {scope} License"))
+        for short, long in (
+            ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"),
+            ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+        )
+        for version, scope in (("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International"))
+    ),
+)
+FRAMES = ("This work is licensed under {}.", "Licensed under {}.", "Released under {}.")
+SPDX = "SPDX-License-Identifier: {}"
+#: Words of a name that do not tell licences apart.
+LOOSE = {"a", "the", "gnu", "license", "version", "generic", "unported", "international", "universal"}
+
 NOT_WORD = r"[^\p{L}\p{N}.]+|\.(?![\p{N}])"
 
 
@@ -61,6 +86,19 @@ def template_words(statement: str) -> list[str]:
     return [w for w in re.split(r"[^\w.]+|\.(?!\d)", statement.lower()) if w]
 
 
+def declarations() -> dict[tuple[str, str], frozenset[str]]:
+    """(licence, statement) of every name in every frame and as SPDX line, with the words that a unit must have for it."""
+    found = {}
+    for name, called in NAMES:
+        stated = [(frame.format(n), n) for n in called for frame in FRAMES] + [(SPDX.format(name), name)]
+        found |= {(name, statement): frozenset(template_words(n)) - LOOSE for statement, n in stated}
+    return found
+
+
+NEEDED = declarations()
+TEMPLATES = (*PASSAGES, *NEEDED)
+
+
 def corpus_weights(files: DataFrame, vocabulary: list[str]) -> tuple[dict[str, float], float]:
     """Inverse document frequency of each vocabulary word over all texts, and that of a word no text has."""
     spark = files.sparkSession
@@ -72,15 +110,18 @@ def corpus_weights(files: DataFrame, vocabulary: list[str]) -> tuple[dict[str, f
     return {v: weight(counts.get(v, 0)) for v in vocabulary}, weight(0)
 
 
-def anchors(vectors: list[dict[str, float]], threshold: float) -> list[str]:
-    """Words without which no unit reaches the threshold for any template."""
+def anchors(vectors: list[dict[str, float]], threshold: float, needed: list[frozenset[str]], idf: dict[str, float]) -> list[str]:
+    """Words without which no unit reaches the threshold for any template or has the words it needs."""
     found: set[str] = set()
-    for vector in vectors:
-        norm, light = math.sqrt(sum(x * x for x in vector.values())), 0.0
+    for vector, need in zip(vectors, needed):
+        norm, light, heavy = math.sqrt(sum(x * x for x in vector.values())), 0.0, set()
         for word, x in sorted(vector.items(), key=lambda e: (e[1], e[0])):
             light += (x / norm) ** 2
             if light >= (0.999 * threshold) ** 2:
-                found.add(word)
+                heavy.add(word)
+        rarest = set(sorted(need, key=lambda w: (-idf[w], w))[:1])
+        often = lambda ws: sum(math.exp(-idf[w]) for w in ws)
+        found |= rarest if need and often(rarest) < often(heavy) else heavy
     return sorted(found)
 
 
@@ -97,11 +138,12 @@ def own_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
     idf, foreign = corpus_weights(files, vocabulary)
     vectors = [{w: n * idf[w] for w, n in bag.items()} for bag in bags]
     norms = [math.sqrt(sum(x * x for x in v.values())) for v in vectors]
-    needed = F.array(*[F.lit(a) for a in anchors(vectors, threshold)])
-    anchored = lambda c: F.arrays_overlap(F.split(F.lower(c), NOT_WORD), needed)
+    needed = [NEEDED.get(t, frozenset()) for t in templates]
+    some = F.array(*[F.lit(a) for a in anchors(vectors, threshold, needed, idf)])
+    anchored = lambda c: F.arrays_overlap(F.split(F.lower(c), NOT_WORD), some)
     postings = spark.createDataFrame(
-        [(w, t, x / norm, idf[w]) for t, (v, norm) in enumerate(zip(vectors, norms)) for w, x in v.items()],
-        "term string, template int, y double, idf double",
+        [(w, t, x / norm, idf[w], int(w in needed[t]), len(needed[t])) for t, (v, norm) in enumerate(zip(vectors, norms)) for w, x in v.items()],
+        "term string, template int, y double, idf double, has int, needs int",
     )
     weights = F.broadcast(postings.select("term", "idf").distinct())  # bounded by the templates
     with_anchor = files.where(anchored("text"))
@@ -110,7 +152,8 @@ def own_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
     terms = units.select("key", "no", F.explode(words(F.col("unit"))).alias("term")).groupBy("key", "no", "term").agg(F.count(F.lit(1)).alias("tf"))
     terms = stored(terms.join(weights, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(foreign))), "unit-terms")
     length = terms.groupBy("key", "no").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = terms.join(F.broadcast(postings.select("term", "template", "y")), "term").groupBy("key", "no", "template").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    dots = terms.join(F.broadcast(postings.drop("idf")), "term").groupBy("key", "no", "template", "needs").agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.sum("has").alias("has"))
+    dots = dots.where("has = needs")
     names = F.array(*[F.lit(name) for name, _ in templates])
     scored = dots.join(length, ["key", "no"]).select(
         "key", "no", F.get(names, F.col("template")).alias("license"), F.round(F.col("dot") / F.col("norm"), 6).alias("score")

@@ -358,6 +358,27 @@ def test_license_cosines_match_brute_force(spark):
     assert all(got[k][1] == pytest.approx(expected[k][1], abs=2e-6) for k in got)
 
 
+def test_license_declarations_are_found_and_told_apart(spark):
+    known = {
+        "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "Released under CC BY-NC-SA 3.0": "CC-BY-NC-SA-3.0", "# SPDX-License-Identifier: MPL-2.0": "MPL-2.0", "// SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "CC-BY-NC-4.0", GPL3: "GPL-3.0",
+        "Licensed under the GNU Lesser General Public License, version 2.1": "LGPL-2.1", "Released under the GPLv2": "GPL-2.0",
+        "Released under the Foo License.": None, "SPDX-License-Identifier: Foo-1.0": None, "This work is licensed under the Foo License.": None,
+    }
+    text = "word " * 50 + "\n%s\n" + "other " * 50
+    df = spark.createDataFrame([(i, text % line) for i, line in enumerate(known)], "key long, text string")
+    got = {r["key"]: r["license"] for r in licenses.own_licenses(df).collect()}
+    assert [got.get(i) for i in range(len(known))] == list(known.values())
+
+
+def test_license_lines_of_the_tables_are_all_found(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select(F.col("doc_id").alias("key"), "text")
+    lines = docs.select("key", F.explode(F.split("text", "\n")).alias("line")).where(r"lower(line) rlike 'licen[cs]e|spdx|\\bcc by|copyright'")
+    stated = {r["key"] for r in lines.collect()}
+    assert stated and {r["key"] for r in licenses.own_licenses(docs).collect()} == stated
+
+
 # --- near deduplication
 
 
