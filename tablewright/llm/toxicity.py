@@ -3,11 +3,12 @@
 Lower-cased words are hashed to embeddings; filters of one, two and three words slide over the whole text, each filter
 keeps its largest response, and a linear layer gives the logit. The first embedding dimension starts as the smoothed
 log odds of a bucket between the classes, so that rare tell-tale words are seen from the start; everything is then
-trained by stochastic gradient descent (Adam). Training uses a bounded sample chosen by hash: about ``MOST_TOXIC`` and
-``MOST_CLEAN`` labelled texts of at most ``LONGEST`` words. A fifth of it is set aside for calibration: a logistic map
-of the logit, and for each language the cut that separates best while hardly any clean text exceeds it, which is moved
-to ``CUT``. The language is predicted
-from the text. Scoring always reads whole texts.
+trained by stochastic gradient descent (Adam). Weights are fitted on a bounded sample chosen by hash: four fifths of
+about ``MOST_TOXIC`` and ``MOST_CLEAN`` labelled texts of at most ``LONGEST`` words. All other labelled texts of the
+training rows, of any length, calibrate: they are scored in tasks and only counts by language, label and logit (in steps
+of ``STEP``) are collected. They give a logistic map of the logit, and for each language the cut that separates best
+while hardly any clean text exceeds it, which is moved to ``CUT``. ``Model.report`` has the texts, recall and false
+alarms of every language. The language is predicted from the text. Scoring always reads whole texts.
 
 Cases: NULL and empty texts are scored from the bias alone; conflicting labels of one id count as toxic; without labels
 of both classes every score is the share of toxic labels (0 without any), kept below the cut where it is 0; repeated
@@ -37,8 +38,10 @@ WIDTHS = (1, 2, 3)
 EPOCHS = 4
 BATCH = 32
 CUT = 0.7
-#: Share of clean calibration texts that may exceed the cut.
+#: Share of clean calibration texts that may exceed the cut; one text always may, so that none decides alone.
 FALSE_ALARMS = 0.005
+#: Logits are counted in steps of this size, up to FARTHEST steps from zero.
+STEP, FARTHEST = 0.01, 10_000
 #: Toxic and clean texts that a calibration needs at least.
 ENOUGH = 20
 #: Words scored at once.
@@ -148,6 +151,7 @@ class Model:
     offset: float = 0.0
     cuts: dict[str, float] = field(default_factory=dict)  # by language, of the calibrated logit; "" holds for all others
     languages: lang_id.Model | None = None
+    report: pd.DataFrame | None = None  # calibration texts, recall and false alarms by language
 
     def predict(self, texts: list[str | None]) -> np.ndarray:
         if self.network is None:
@@ -162,70 +166,83 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic map, slightly regularised, by Newton steps."""
-    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+def platt(z: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic map of logits that occur ``n`` times, slightly regularised, by Newton steps."""
+    toxic, clean = (n * y).sum(), (n * (1 - y)).sum()
+    target = np.where(y == 1, (toxic + 1) / (toxic + 2), 1 / (clean + 2))
     a, b = 1.0, 0.0
     for _ in range(30):
         p = sigmoid(a * z + b)
-        w = p * (1 - p) + 1e-6
-        g = np.array([((p - target) * z).sum() + 1e-2 * (a - 1), (p - target).sum()])
+        w = n * (p * (1 - p) + 1e-6)
+        g = np.array([(n * (p - target) * z).sum() + 1e-2 * (a - 1), (n * (p - target)).sum()])
         h = np.array([[(w * z * z).sum() + 1e-2, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-6]])
         da, db = np.linalg.solve(h, g)
         a, b = a - np.clip(da, -2, 2), b - np.clip(db, -5, 5)
     return max(a, 0.1), b
 
 
-def best_cut(z: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the gap with the best F1 among the cuts that at most FALSE_ALARMS of the clean texts exceed."""
+def best_cut(z: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """The middle of the gap with the best F1 among the cuts that at most FALSE_ALARMS of the clean texts, or one, exceed."""
     order = np.argsort(-z, kind="stable")
     ranked = np.r_[z[order][0] + 1, z[order], z[order][-1] - 1]
-    hits, alarms = (np.r_[0, np.cumsum(v[order])] for v in (y, 1 - y))
-    f1 = 2 * hits / np.maximum(hits + alarms + y.sum(), 1)
-    f1[alarms > FALSE_ALARMS * (1 - y).sum()] = -1
-    i = int(np.argmax(f1))  # the first i texts are above the cut
+    hits, alarms = (np.r_[0, np.cumsum(v[order])] for v in (n * y, n * (1 - y)))
+    f1 = 2 * hits / np.maximum(hits + alarms + hits[-1], 1)
+    f1[(alarms > max(1, FALSE_ALARMS * alarms[-1])) | (ranked[:-1] == ranked[1:])] = -1
+    i = int(np.argmax(f1))  # the first i logits are above the cut
     return float((ranked[i] + ranked[i + 1]) / 2)
 
 
-def fit(texts: list[np.ndarray], y: np.ndarray, spoken: list[str], held: np.ndarray, languages: lang_id.Model) -> Model:
-    share = float(y.mean()) if len(y) else 0.0
-    train = np.flatnonzero(~held)
-    if not 0 < y[train].sum() < len(train):
-        train = np.arange(len(y))
-    if not 0 < y.sum() < len(y):
-        return Model(None, share)
+def fit(texts: list[np.ndarray], y: np.ndarray) -> Network:
+    """A network trained on texts of both classes."""
     toxic, clean = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for i in train:
-        (toxic if y[i] else clean)[np.unique(texts[i])] += 1
-    n_toxic = y[train].sum()
-    odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (len(train) - n_toxic + 1))
-    network = Network.started(np.where(toxic + clean > 0, odds * (toxic + clean) / (toxic + clean + 4), 0), float(y[train].mean()))
+    for text, kind in zip(texts, y):
+        (toxic if kind else clean)[np.unique(text)] += 1
+    n_toxic = y.sum()
+    odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (len(y) - n_toxic + 1))
+    network = Network.started(np.where(toxic + clean > 0, odds * (toxic + clean) / (toxic + clean + 4), 0), float(y.mean()))
     random = np.random.default_rng(5)
     for epoch in range(EPOCHS):
-        for part in np.array_split(random.permutation(train), max(1, len(train) // BATCH)):
+        for part in np.array_split(random.permutation(len(y)), max(1, len(y) // BATCH)):
             network.train([texts[i] for i in part], y[part].astype(np.float32), 0.01 / (1 + epoch))
     network.moments = {}
-    enough = min(y[held].sum(), (1 - y[held]).sum()) >= ENOUGH
-    rows = np.flatnonzero(held) if enough else np.arange(len(y))
-    z = network.logits([texts[i] for i in rows])
-    slope, offset = platt(z, y[rows])
-    z = slope * z + offset
-    cuts = {"": best_cut(z, y[rows])}
-    for language in set(spoken):
-        own = np.array([spoken[i] == language for i in rows])
-        if min(y[rows][own].sum(), (1 - y[rows][own]).sum()) >= ENOUGH:
-            cuts[language] = best_cut(z[own], y[rows][own])
-    return Model(network, share, slope, offset, cuts, languages)
+    return network
 
 
-def coder(languages):
-    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def calibrate(network: Network, share: float, counts: pd.DataFrame, languages: lang_id.Model) -> Model:
+    """The model whose logistic map and cuts come from counts ``n`` by spoken, toxic and logit ``z``."""
+    z, y, n = counts["z"].to_numpy(float), counts["toxic"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
+    slope, offset = platt(z, y, n)
+    z = slope * z + offset
+    cuts = {"": best_cut(z, y, n)}
+    report = []
+    for language in sorted(set(counts["spoken"])):
+        own = (counts["spoken"] == language).to_numpy()
+        toxic, clean = own & (y == 1), own & (y == 0)
+        if min(n[toxic].sum(), n[clean].sum()) >= ENOUGH:
+            cuts[language] = best_cut(z[own], y[own], n[own])
+        above = z >= cuts.get(language, cuts[""])
+        rate = lambda rows: float(n[rows & above].sum() / n[rows].sum()) if n[rows].sum() else None
+        report.append((language, int(n[toxic].sum()), int(n[clean].sum()), language in cuts, rate(toxic), rate(clean)))
+    report = pd.DataFrame(report, columns=["spoken", "toxic", "clean", "own_cut", "recall", "false_alarms"])
+    return Model(network, share, slope, offset, cuts, languages, report)
+
+
+def coder(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "ids": [buckets(t).tobytes() for t in batch["text"]]})
+
+
+def counter(shared):
+    """Language and logit, in steps, of each text."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        network, languages = shared.value
         for batch in batches:
-            ids = [buckets(t).tobytes() for t in batch["text"]]
-            spoken = [a[0] for a in languages.value.predict(list(batch["text"]))]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "spoken": spoken, "ids": ids})
+            texts = list(batch["text"])
+            z = np.clip(np.rint(network.logits([buckets(t) for t in texts]) / STEP), -FARTHEST, FARTHEST).astype(np.int64)
+            yield pd.DataFrame({"spoken": [a[0] for a in languages.predict(texts)], "toxic": batch["toxic"], "step": z})
 
-    return code
+    return count
 
 
 def learn(docs: DataFrame, labels: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", toxic: str = "toxic") -> Model:
@@ -237,18 +254,35 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, doc_id: str = "d
     totals = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     key = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003))
     chance = lambda most, kind: F.lit(most / max(totals.get(kind, 0), most) * 1_000_003)
-    sample = marked.where(key < F.when(F.col("toxic") == 1, chance(MOST_TOXIC, 1)).otherwise(chance(MOST_CLEAN, 0)))
-    sample = F.broadcast(sample.limit(2 * (MOST_TOXIC + MOST_CLEAN)))  # bounded by the sample's size
-    known = own_names(docs, doc_id=doc_id, text=text, lang=lang)
+    chosen = key < F.when(F.col("toxic") == 1, chance(MOST_TOXIC, 1)).otherwise(chance(MOST_CLEAN, 0))
+    known = own_names(docs, doc_id=doc_id, text=text, lang=lang).where(training)
     short = F.size(F.split("text", r"\s+")) <= LONGEST
-    rows = known.where("text IS NOT NULL").join(sample, "doc_id").where(short).select("doc_id", "toxic", "text")
-    languages = lang_id.learn(known.where(training))
-    code = coder(spark.sparkContext.broadcast(languages))
-    data = rows.mapInPandas(code, "doc_id long, toxic int, spoken string, ids binary").toPandas().sort_values(["doc_id", "ids"])
-    texts = [np.frombuffer(b, np.int32) for b in data["ids"]]
-    spoken = data["spoken"].tolist()
-    held = np.array([zlib.crc32(b"calibration %d" % i) % 5 == 0 for i in data["doc_id"]], bool)
-    return fit(texts, data["toxic"].to_numpy(np.int64), spoken, held, languages)
+    held = F.crc32(F.concat(F.lit("calibration "), F.col("doc_id").cast("string")).cast("binary")) % 5 == 0
+    texts = known.where("text IS NOT NULL").select("doc_id", "text")
+    sample = texts.join(F.broadcast(marked.where(chosen)), "doc_id").where(short)  # bounded by the sample's size
+    data = sample.select("doc_id", "toxic", "text").mapInPandas(coder, "doc_id long, toxic int, ids binary").toPandas().sort_values(["doc_id", "ids"])
+    y = data["toxic"].to_numpy(np.int64)
+    share = float(y.mean()) if len(y) else 0.0
+    if not 0 < y.sum() < len(y):
+        return Model(None, share)
+    fitted = np.array([zlib.crc32(b"calibration %d" % i) % 5 != 0 for i in data["doc_id"]], bool)
+    fitted_rows = chosen & short & ~held
+    if not 0 < y[fitted].sum() < fitted.sum():
+        fitted, fitted_rows = np.ones(len(y), bool), chosen & short
+    network = fit([np.frombuffer(b, np.int32) for b in data["ids"][fitted]], y[fitted])
+    languages = lang_id.learn(known)
+    count = counter(spark.sparkContext.broadcast((network, languages)))
+    labelled = texts.join(marked, "doc_id")
+
+    def counted(rows: DataFrame) -> pd.DataFrame:
+        steps = rows.select("toxic", "text").mapInPandas(count, "spoken string, toxic int, step long")
+        found = steps.groupBy("spoken", "toxic", "step").agg(F.count(F.lit(1)).alias("n")).toPandas()  # bounded by languages and steps
+        return found.assign(z=found["step"] * STEP)
+
+    counts = counted(labelled.where(~fitted_rows))
+    if min(counts.loc[counts["toxic"] == kind, "n"].sum() for kind in (0, 1)) < ENOUGH:
+        counts = counted(labelled)
+    return calibrate(network, share, counts, languages)
 
 
 def toxicity(model: Model, text: Column, spark) -> Column:

@@ -234,6 +234,23 @@ def test_toxicity_without_labels(spark, odd, nothing):
     assert nothing.select(toxicity.toxicity(toxicity.learn(nothing, labels, F.lit(True)), F.col("text"), spark)).count() == 0
 
 
+def test_toxicity_cuts_come_from_all_labelled_texts_not_fitted_on(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_TOXIC", 60)
+    monkeypatch.setattr(toxicity, "MOST_CLEAN", 120)
+    monkeypatch.setattr(toxicity, "LONGEST", 400)
+    fitted = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y, fit=toxicity.fit: (fitted.append(len(y)), fit(texts, y))[1])
+    docs, labels = (table(spark, "/root/testdata/sf0.1", name) for name in ("documents", "labels"))
+    report = toxicity.learn(docs, labels, F.lit(True)).report
+    assert report["toxic"].sum() + report["clean"].sum() + fitted[0] == docs.join(labels.where("toxic IS NOT NULL"), "doc_id").count()
+    assert report["own_cut"].all() and (report["false_alarms"] < 0.02).all()
+
+
+def test_one_odd_clean_text_does_not_decide_the_cut():
+    z, y = np.r_[np.linspace(-5, -1, 59), 9.0, np.linspace(1, 4, 20)], np.r_[np.zeros(60), np.ones(20)].astype(np.int64)
+    assert -1 < toxicity.best_cut(z, y, np.ones(80, np.int64)) < 1
+
+
 def test_network_gradients_lower_the_loss():
     random = np.random.default_rng(0)
     texts = [random.integers(10, 500, 30).astype(np.int32) for _ in range(200)]
