@@ -3,7 +3,7 @@
 1. toxicity: documents that the classifier finds toxic go; it learns from the labelled documents among its input.
 2. quality: documents that a rule of the cascade rejects go.
 3. exact dedup: of equal texts the row with the largest id stays.
-4. near dedup: of each group of near-duplicates the document with the smallest id stays.
+4. near dedup: of each group of near-duplicates one row with the smallest id stays, rows without an id last.
 5. packing: the pieces of all documents that are left, in windows of 4096 tokens.
 
 All stages but the last return the columns of their input. NULL and empty texts go with the quality rules, repeated rows
@@ -41,11 +41,16 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One row of each group of near-duplicates; rows are told apart by their place in the written table, not by id."""
     from tablewright.llm.near_dedup import near_duplicates
 
-    dropped = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("__dropped"), "left_anti")
+    path = fresh_path(spark, "near-dedup-contents")
+    docs.write.parquet(path)
+    contents = spark.read.schema(docs.schema).parquet(path).withColumn("__at", F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+    found = near_duplicates(contents, doc_id="__at").select(F.col("doc_id").alias("__at"), "component_id")
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__at")).alias("first")
+    stay = contents.select("__at", "doc_id").join(found, "__at").groupBy("component_id").agg(smallest).select("first.__at")
+    return contents.join(stay, "__at", "left_semi").drop("__at")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -464,6 +464,15 @@ def test_pipeline_stages_brute_force(spark, odd):
     assert corpus_pipeline.run(spark, sf).select("doc_id").distinct().count() > 0
 
 
+def test_near_dedup_stage_drops_rows_not_ids(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    data = [(1, a), (2, a + " tail"), (2, b), (None, c), (None, c + " tail"), (4, b + " more"), (5, None), (5, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert rows(corpus_pipeline.near_dedup_stage(spark, df, ""), "doc_id", "text")[:2] == [(1, a), (2, b)]
+    left = [(r["doc_id"], (r["text"] or "-")[0]) for r in corpus_pipeline.near_dedup_stage(spark, df, "").collect()]
+    assert sorted(left, key=repr) == sorted([(1, "a"), (2, "b"), (None, "c"), (5, "-"), (5, "-")], key=repr)
+
+
 def test_pipeline_on_nothing(spark, nothing):
     docs = nothing
     for _, stage in corpus_pipeline.STAGES[1:]:
