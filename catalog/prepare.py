@@ -12,6 +12,7 @@ from catalog.views import COLUMNS, dirty_events, dirty_orders, doc_labels, table
 from tablewright.functions.columns import column_classes, hex_share
 from tablewright.operators import corrupt as C
 from tablewright.operators import encode as E
+from tablewright.operators.fixes import fill_mean
 from tablewright.operators.models import fold_count_column
 from tablewright.operators.profile import missing_counts
 from tablewright.operators.ranking import stratified_folds, stratified_split
@@ -94,7 +95,7 @@ def e01(spark, sf):
 )
 def e02(spark, sf):
     docs = doc_labels(spark, sf).select("doc_id", "toxic")
-    return rounded(E.fill_mean(docs, ["toxic"]), "toxic")
+    return rounded(fill_mean(docs, ["toxic"]), "toxic")
 
 
 @query(
