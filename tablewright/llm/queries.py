@@ -100,11 +100,20 @@ def op9_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(doc_id.alias("doc_id"), "path", "license", "score", "origin", "origin_path", "unit")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    from tablewright.llm.merkle import merkle_manifest
+
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(remainder(F.col("doc_id"), 5) == 0, lowered).otherwise(F.col("text"))
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    return merkle_manifest(table(spark, sf, "documents"), fields, "source", "doc_id", {"text": tampered})
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_lm_score, op2_quality_cascade, op3_chat_format, op4_language_id, op5_packing, op6_toxicity, op7_exact_dedup,
-        op8_piece_encoding, op9_license_scan, op10_near_dedup,
+        op8_piece_encoding, op9_license_scan, op10_near_dedup, op13_merkle_manifest,
     )
 }
 
@@ -180,4 +189,58 @@ SELECT c.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, min(r.b) AS component_i
 FROM cut c LEFT JOIN sizes s USING (doc_id) JOIN reach r ON r.a = c.doc_id GROUP BY c.doc_id, s.n
 """
 
-ORACLES = {"op2_quality_cascade": _OP2, "op3_chat_format": _OP3, "op7_exact_dedup": _OP7, "op10_near_dedup": _OP10}
+
+
+def _op13(levels: int = 6) -> str:
+    """Trees of up to 16^levels leaves, level by level; the crc is worked out bit by bit."""
+    # crc32 (IEEE, reflected): polynomial 0xEDB88320, start and final complement 0xFFFFFFFF
+    shift = "lambda x, y: xor(x >> 1, 3988292384 * (x & 1))"
+    byte = f"list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), {shift})"
+    digits = "list_transform(string_split(doc_id::VARCHAR, ''), lambda c: unicode(c)::BIGINT)"
+    crc = f"xor(list_reduce(list_concat([4294967295::BIGINT], {digits}), lambda a, b: {byte}), 4294967295)"
+    part = lambda x: f"coalesce(strlen({x}::VARCHAR) || ':' || {x}, '-')"
+    row = lambda text: "sha256(" + " || ".join([*[part(c) for c in ("doc_id", "source", "lang", "n_chars")], text]) + ")"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ctes = [
+        f"hashed AS (SELECT doc_id, coalesce('v' || source, '-') AS tree, {row(part('text'))} AS leaf, {row(part('other'))} AS changed "
+        f"FROM (SELECT *, CASE WHEN coalesce({crc}, 0) % 5 = 0 THEN {lowered} ELSE text END AS other FROM documents))",
+        "leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM hashed)",
+        "d0 AS (SELECT tree, pos AS i, leaf AS h FROM leaves)",
+    ]
+
+    def climb(x: str) -> None:
+        for k in range(levels):
+            ctes.append(
+                f"{x}r{k} AS (SELECT tree, i // 16 AS g, list(h ORDER BY i) AS run, any_value(n) AS n "
+                f"FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {x}{k}) GROUP BY tree, i // 16)"
+            )
+            ctes.append(f"{x}{k + 1} AS (SELECT tree, g AS i, CASE WHEN n = 1 THEN run[1] ELSE sha256(list_aggregate(run, 'string_agg', '')) END AS h FROM {x}r{k})")
+
+    def walk(x: str, base: str) -> None:
+        """Proof and fold of each row of ``base`` (tree, pos, proof, folded) up the tree ``x``."""
+        for k in range(levels):
+            i = f"((w.pos // {16**k}) % 16)"
+            before = f"coalesce(array_to_string(r.run[1:{i}], ''), '')"
+            after = f"coalesce(array_to_string(r.run[{i} + 2:], ''), '')"
+            ctes.append(
+                f"{base}{k + 1} AS (SELECT w.* EXCLUDE (proof, folded), CASE WHEN n = 1 THEN proof ELSE proof || {before} || {after} END AS proof, "
+                f"CASE WHEN n = 1 THEN folded ELSE sha256({before} || folded || {after}) END AS folded "
+                f"FROM {base}{k} w JOIN {x}r{k} r ON r.tree = w.tree AND r.g = w.pos // {16 ** (k + 1)})"
+            )
+
+    climb("d")
+    ctes.append(f"c0 AS (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS i, h, tree AS name FROM d{levels})")
+    climb("c")
+    ctes.append("p0 AS (SELECT tree, pos, doc_id, leaf, '' AS proof, changed AS folded FROM leaves)")
+    walk("d", "p")
+    ctes.append(
+        f"q0 AS (SELECT p.doc_id, p.leaf, p.proof, p.folded, c0.h AS subroot, '' AS tree, c0.i AS pos FROM p{levels} p JOIN c0 ON c0.name = p.tree)"
+    )
+    walk("c", "q")
+    return (
+        "WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, "
+        f"folded = r.h AS verified FROM q{levels} JOIN c{levels} r ON true"
+    )
+
+
+ORACLES = {"op13_merkle_manifest": _op13(), "op2_quality_cascade": _OP2, "op3_chat_format": _OP3, "op7_exact_dedup": _OP7, "op10_near_dedup": _OP10}
