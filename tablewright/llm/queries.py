@@ -100,6 +100,12 @@ def op9_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(doc_id.alias("doc_id"), "path", "license", "score", "origin", "origin_path", "unit")
 
 
+def op12_phrase_mining(spark: SparkSession, sf: str) -> DataFrame:
+    from tablewright.llm.phrases import collocations
+
+    return collocations(table(spark, sf, "documents"), least=100, within=100, top=2000)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     from tablewright.llm.merkle import merkle_manifest
 
@@ -113,7 +119,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_lm_score, op2_quality_cascade, op3_chat_format, op4_language_id, op5_packing, op6_toxicity, op7_exact_dedup,
-        op8_piece_encoding, op9_license_scan, op10_near_dedup, op13_merkle_manifest,
+        op8_piece_encoding, op9_license_scan, op10_near_dedup, op12_phrase_mining, op13_merkle_manifest,
     )
 }
 
@@ -191,6 +197,35 @@ FROM cut c LEFT JOIN sizes s USING (doc_id) JOIN reach r ON r.a = c.doc_id GROUP
 
 
 
+_OP12 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), cut AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS words FROM pieces
+), total AS (SELECT lang, sum(len(words))::BIGINT AS n FROM cut GROUP BY lang),
+grams AS (
+  SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM cut, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(words) >= k)
+), f AS (SELECT lang, phrase, k, count(*) AS n FROM grams GROUP BY ALL HAVING count(*) >= 100),
+parts AS (
+  SELECT lang, phrase, n AS a, j, array_to_string(w[1:j], ' ') AS first, array_to_string(w[j + 1:], ' ') AS rest
+  FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS j FROM f WHERE k >= 2)
+), scored AS (
+  SELECT p.*, x.n AS l, y.n AS r, t.n, ((1000::HUGEINT * a * t.n) // (x.n::HUGEINT * y.n))::BIGINT AS score
+  FROM parts p JOIN f x ON x.lang = p.lang AND x.phrase = p.first JOIN f y ON y.lang = p.lang AND y.phrase = p.rest JOIN total t ON t.lang = p.lang
+), worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+free AS (
+  SELECT * FROM worst w WHERE NOT EXISTS (
+    SELECT 1 FROM f WHERE f.lang = w.lang AND f.n >= w.a AND f.phrase <> w.phrase AND contains(' ' || f.phrase || ' ', ' ' || w.phrase || ' '))
+)
+SELECT lang, row_number() OVER best AS rank, phrase, a, l, r, n, score FROM free
+WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+QUALIFY row_number() OVER best <= 2000
+"""
+
+
 def _op13(levels: int = 6) -> str:
     """Trees of up to 16^levels leaves, level by level; the crc is worked out bit by bit."""
     # crc32 (IEEE, reflected): polynomial 0xEDB88320, start and final complement 0xFFFFFFFF
@@ -243,4 +278,4 @@ def _op13(levels: int = 6) -> str:
     )
 
 
-ORACLES = {"op13_merkle_manifest": _op13(), "op2_quality_cascade": _OP2, "op3_chat_format": _OP3, "op7_exact_dedup": _OP7, "op10_near_dedup": _OP10}
+ORACLES = {"op12_phrase_mining": _OP12, "op13_merkle_manifest": _op13(), "op2_quality_cascade": _OP2, "op3_chat_format": _OP3, "op7_exact_dedup": _OP7, "op10_near_dedup": _OP10}
