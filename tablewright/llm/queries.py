@@ -100,6 +100,12 @@ def op9_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(doc_id.alias("doc_id"), "path", "license", "score", "origin", "origin_path", "unit")
 
 
+def op11_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    from tablewright.llm.decontaminate import decontaminate
+
+    return decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op12_phrase_mining(spark: SparkSession, sf: str) -> DataFrame:
     from tablewright.llm.phrases import collocations
 
@@ -119,7 +125,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_lm_score, op2_quality_cascade, op3_chat_format, op4_language_id, op5_packing, op6_toxicity, op7_exact_dedup,
-        op8_piece_encoding, op9_license_scan, op10_near_dedup, op12_phrase_mining, op13_merkle_manifest,
+        op8_piece_encoding, op9_license_scan, op10_near_dedup, op11_decontamination, op12_phrase_mining, op13_merkle_manifest,
     )
 }
 
@@ -197,6 +203,29 @@ FROM cut c LEFT JOIN sizes s USING (doc_id) JOIN reach r ON r.a = c.doc_id GROUP
 
 
 
+_OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
+  FROM documents
+), b AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
+  FROM benchmark
+), iw AS (
+  SELECT DISTINCT item_id, m, array_to_string(words[i:i + m - 1], ' ') AS w
+  FROM (SELECT *, unnest(range(1, len(words) - m + 2)) AS i FROM (SELECT *, least(len(words), 10) AS m FROM b WHERE len(words) > 0))
+), dw AS (
+  SELECT rid, i, m, array_to_string(words[i:i + m - 1], ' ') AS w
+  FROM (SELECT rid, words, m, unnest(range(1, len(words) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM iw) WHERE len(words) >= m)
+), found AS (SELECT rid, i, m, item_id FROM dw JOIN iw USING (m, w)),
+hit AS (SELECT rid, count(DISTINCT i + j) AS n FROM (SELECT rid, i, unnest(range(0, m)) AS j FROM (SELECT DISTINCT rid, i, m FROM found)) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS h FROM (SELECT DISTINCT rid, item_id FROM found) GROUP BY rid)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
+  coalesce(items.h, sha256('')) AS items_sha256, hit.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
+"""
+
 _OP12 = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
@@ -278,4 +307,4 @@ def _op13(levels: int = 6) -> str:
     )
 
 
-ORACLES = {"op12_phrase_mining": _OP12, "op13_merkle_manifest": _op13(), "op2_quality_cascade": _OP2, "op3_chat_format": _OP3, "op7_exact_dedup": _OP7, "op10_near_dedup": _OP10}
+ORACLES = {"op11_decontamination": _OP11, "op12_phrase_mining": _OP12, "op13_merkle_manifest": _op13(), "op2_quality_cascade": _OP2, "op3_chat_format": _OP3, "op7_exact_dedup": _OP7, "op10_near_dedup": _OP10}
