@@ -43,15 +43,17 @@ def words_of(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """The same number without building the words; upper-case letters are letters already."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+    """How many words there are; A-Z need not be lowered for that."""
+    parts = F.split(F.coalesce(text, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    return F.size(F.array_remove(parts, "")).cast("long")
 
 
 def _kept_runs(texts: DataFrame, *columns: str) -> DataFrame:
     """The kept runs of each text: columns, pos, run (hash), lead (words before it that are given), near (words around it)."""
-    long = texts.where(F.size("words") >= SPAN).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    # Short texts get empty arrays instead of a filter, which Spark would push below and cut all words twice for.
+    long = texts.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     get = lambda a, i: F.get(F.col(a), i)
-    places = lambda a, less: F.sequence(F.lit(0), F.size(a) - less)
+    places = lambda a, less: F.slice(F.sequence(F.lit(0), F.size(a)), F.lit(1), F.greatest(F.size(a) - less + 1, F.lit(0)))
     runs = F.transform(
         places("hashes", GRAM),
         lambda i: F.xxhash64(*[get("hashes", i + j) for j in range(GRAM)]).bitwiseAND(F.lit(~_PLACE).cast("long")),
