@@ -11,7 +11,9 @@ Texts have A-Z lowered and are cut at ``. , ; : ! ?`` and line ends into pieces,
 does not reach over pieces. NULL and empty texts hold no words; a NULL language is ``und``; repeated rows count each time;
 ties in the ranking go by count, then by the bytes of the phrase; an empty table has no phrases; other columns are ignored. A
 very long text is read piece by piece, so one piece must fit into a task's memory, a text need not. Only the word totals of the
-10,000 largest languages are broadcast; in smaller ones every phrase of a shard is reported.
+10,000 largest languages are broadcast; in smaller ones every phrase of a shard is reported. Shards are bounded, so in a
+language of more than ``least`` shards the local support is one: all phrases are then reported, and counting them is one plain
+aggregation of hashes.
 """
 
 from __future__ import annotations
@@ -31,8 +33,13 @@ from xxhash import xxh3_64_intdigest
 from tablewright.llm.common import own_names, prepare, stored
 
 LONGEST = 5
-#: Words in a shard; bounds the memory of a task.
-SHARD_WORDS = 4_000_000
+#: Words in a shard, on average; small splits are joined up to it, and half as many again end a shard (memory of a task).
+SHARD_WORDS = 3_000_000
+#: Local support is lowered to this at least: few large shards then report as much for each word as many small ones do, and
+#: what they do not report bounds totals closely.
+LOCAL_SUPPORT = 3
+#: Phrases a task adds up before it hands them on.
+HELD = 400_000
 #: Languages whose word totals are sent to the tasks.
 LANGUAGES = 10_000
 #: Bits of the filter over phrases that may be frequent, at most.
@@ -93,7 +100,7 @@ def shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Shard]:
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             shard.add(lang, text)
-            if shard.size >= size:
+            if 2 * shard.size >= 3 * size:
                 yield shard
                 shard = Shard()
     yield shard
@@ -154,7 +161,8 @@ def miner(totals: Broadcast, least: int, size: int) -> Callable:
         for shard in shards(batches, size):
             for lang, words, codes in shard.languages():
                 here = int((codes > 0).sum())
-                local = max(1, -(-least * here // max(totals.value.get(lang, 0), 1))) if lang in totals.value else 1
+                share = -(-least * here // max(totals.value.get(lang, 0), 1)) if lang in totals.value else 1
+                local = max(1, min(share, LOCAL_SUPPORT))
                 yield of(MINED, [lang], [None], [0], [local - 1])
                 hashes = word_hashes(words)
                 for k, first, counts in levels(codes, lambda k, first, counts: counts >= local):
@@ -174,14 +182,24 @@ def counter(marks: Broadcast, size: int) -> Callable:
             out &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
         return out
 
+    def given(held: dict[tuple[str, bytes, int], int]) -> pa.RecordBatch:
+        langs, phrases, words = zip(*held) if held else ((), (), ())
+        batch = of(COUNTED, langs, [p.decode() for p in phrases], words, list(held.values()))
+        held.clear()
+        return batch
+
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, bytes, int], int] = defaultdict(int)
         for shard in shards(batches, size):
             for lang, words, codes in shard.languages():
                 hashes = word_hashes(words)
                 through = lambda k, first, counts: passes(mixed(hashes, first, codes, k, lang))  # noqa: B023, E731
                 for k, first, counts in levels(codes, through):
-                    phrases = [b" ".join([words[c] for c in codes[p : p + k].tolist()]).decode() for p in first.tolist()]
-                    yield of(COUNTED, [lang] * len(phrases), phrases, np.full(len(phrases), k), counts)
+                    for p, n in zip(first.tolist(), counts.tolist()):
+                        held[lang, b" ".join([words[c] for c in codes[p : p + k].tolist()]), k] += n
+                if len(held) >= HELD:
+                    yield given(held)
+        yield given(held)
 
     return tally
 
