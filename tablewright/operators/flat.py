@@ -6,6 +6,7 @@ segment column give a table of profiles, so thousands of segments are judged in
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,9 +14,9 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import scoring
 from tablewright.functions.columns import col, numeric_columns, percent, read_number, resolve_target, string_columns
+from tablewright.operators.moments import pair_moments
 from tablewright.operators.profile import (
     HIGH_CORRELATION,
-    PAIRS_PER_SCAN,
     iqr_bounds,
     is_class_like,
     outside,
@@ -58,10 +59,10 @@ def _profiles(df: DataFrame, by: str | None, target: str) -> DataFrame:
     parts = [_cells(keyed, groups, body.columns, strings, fences), _repeats(keyed, groups, body)]
     if is_class_like(df, target):
         parts.append(_ratios(keyed, groups, target))
-    pairs = [(a, b) for i, a in enumerate(numeric) for b in numeric[i + 1 :]]
-    parts += [
-        _flagged(keyed, groups, pairs[i : i + PAIRS_PER_SCAN]) for i in range(0, len(pairs), PAIRS_PER_SCAN)
-    ]
+    pairs = len(numeric) * (len(numeric) - 1) // 2
+    if pairs:
+        middles = {c: (low + high) / 2 for c, (low, high) in fences.items() if math.isfinite(low + high)}
+        parts.append(_flagged(keyed, groups, numeric, middles))
     # Each part holds different columns of the same few rows; stacking and taking the sum avoids one join per part.
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     names = [c for c in stacked.columns if c != "_segment"]
@@ -77,7 +78,7 @@ def _profiles(df: DataFrame, by: str | None, target: str) -> DataFrame:
         percent(F.col("_repeats"), rows).alias("duplicates"),
         (percent(F.col("_outliers"), rows * len(numeric)) if numeric else F.lit(0.0)).alias("outliers"),
         present("_ratio", 1.0).alias("imbalance_ratio"),
-        (present("_flagged", 0.0) * 100.0 / max(len(pairs), 1)).alias("high_correlation_pct"),
+        (present("_flagged", 0.0) * 100.0 / max(pairs, 1)).alias("high_correlation_pct"),
         F.col("_mixed").cast("double").alias("type_inconsistencies"),
         rows.cast("double").alias("dataset_size"),
         F.lit(float(width)).alias("n_features"),
@@ -130,16 +131,7 @@ def _ratios(keyed: DataFrame, groups: list[str], target: str) -> DataFrame:
     )
 
 
-def _flagged(keyed: DataFrame, groups: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
-    moments = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = col(a).cast("double"), col(b).cast("double")
-        moments += [
-            F.covar_pop(x, y).alias(f"c{i}"),
-            F.var_pop(F.when(y.isNotNull(), x)).alias(f"x{i}"),
-            F.var_pop(F.when(x.isNotNull(), y)).alias(f"y{i}"),
-        ]
-    high = [
-        F.when(pearson(f"c{i}", f"x{i}", f"y{i}") > HIGH_CORRELATION, 1.0).otherwise(0.0) for i in range(len(pairs))
-    ]
-    return keyed.groupBy(*groups).agg(*moments).select(*groups, _sum_of(high).alias("_flagged"))
+def _flagged(keyed: DataFrame, groups: list[str], numeric: list[str], middles: dict[str, float]) -> DataFrame:
+    high = pearson("covariance", "variance1", "variance2") > HIGH_CORRELATION
+    moments = pair_moments(keyed, numeric, middles, groups)
+    return moments.groupBy(*groups).agg(F.sum(F.when(high, 1.0).otherwise(0.0)).alias("_flagged"))

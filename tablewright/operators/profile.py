@@ -25,10 +25,9 @@ from tablewright.functions.columns import (
     string_columns,
 )
 from tablewright.functions.together import together
+from tablewright.operators.moments import all_pair_moments
 from tablewright.operators.quantiles import quantiles
 
-# Pairs aggregated by one branch; beyond this the generated aggregate outgrows the JIT limit and runs interpreted.
-PAIRS_PER_SCAN = 8
 CLASS_LIMIT = 20
 # A distinct count estimated below this share of the rows is five sketch deviations away from "all different".
 SURELY_REPEATED = 0.75
@@ -264,31 +263,13 @@ def class_balance(df: DataFrame, target: str | None = None) -> DataFrame:
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Absolute Pearson correlation of every pair of numeric columns over the rows where both are present.
 
-    NULL where either side is constant.  Pairs are spread over branches of a union: each branch reads only its own columns,
-    and its aggregate stays small enough to be compiled.
+    NULL where either side is constant.  At most three scans of the table, whatever its
+    width: moments of the columns, then pairs of complete columns and pairs that miss values.
     """
     names = numeric_columns(df) if columns is None else list(columns)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    if not pairs:
+    if len(names) < 2:
         return df.sparkSession.createDataFrame([], "feature1 string, feature2 string, abs_corr double")
-    chunks = [pairs[i : i + PAIRS_PER_SCAN] for i in range(0, len(pairs), PAIRS_PER_SCAN)]
-    return reduce(DataFrame.union, [_correlate(df, chunk) for chunk in chunks])
-
-
-def _correlate(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    moments = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = col(a).cast("double"), col(b).cast("double")
-        moments += [
-            F.covar_pop(x, y).alias(f"c{i}"),
-            F.var_pop(F.when(y.isNotNull(), x)).alias(f"x{i}"),
-            F.var_pop(F.when(x.isNotNull(), y)).alias(f"y{i}"),
-        ]
-    rows = [
-        F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"), pearson(f"c{i}", f"x{i}", f"y{i}").alias("abs_corr"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return df.agg(*moments).select(F.explode(F.array(*rows)).alias("pair")).select("pair.*")
+    return all_pair_moments(df, names).select("feature1", "feature2", pearson("covariance", "variance1", "variance2").alias("abs_corr"))
 
 
 def pearson(covariance: str, left: str, right: str) -> Column:
