@@ -1,19 +1,17 @@
-"""Exact quantiles (linear interpolation) that stay exact and bounded on any table size.
-
-Every column is aggregated by its own branch of one union, so each branch scans a single column, the branches run side
-by side, and no generated aggregate grows with the width of the table.  On a plan whose estimated size is
-small, and whose counted rows are few, a branch sorts the values of its column.  On a large one they would not fit one buffer, so the
-wanted order statistics are bracketed instead: a bounded sketch proposes an interval, one scan counts exactly how many
-values lie below, on and inside it, and the interval shrinks by a factor of hundreds per scan until few
-enough values are left to sort.  Only counts and interval ends reach the driver.
+"""Exact quantiles (linear interpolation) of all columns together, exact and bounded on any table size.
+
+Every pass reads the table once for all columns. On a plan whose estimated size is small, and whose counted rows are few,
+values are dealt by column and sorted there. On a large one they would not fit one buffer, so the wanted order statistics are
+bracketed instead: mergeable KLL sketches of all columns, from one scan, propose intervals; one scan counts exactly how many
+values lie below, on and between the ends of all intervals; the intervals shrink by a factor of a hundred a round until few
+enough values are left to sort. Ties of any size end in one round. Only counts and interval ends reach the driver.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,11 +20,11 @@ from tablewright.functions.columns import col, plan_bytes
 
 SMALL_PLAN_BYTES = 32 * 1024 * 1024
 SMALL_ROWS = 5_000_000
-SKETCH_ACCURACY = 10_000
+#: Ranks found by a sketch are off by one in so many at most.
+SKETCH_ACCURACY = 1500
 GRID = 400
 SORTABLE = 50_000
 
-
 @dataclass
 class Bracket:
     """One wanted order statistic: its rank, and the open interval (low, high) known to hold it.
@@ -98,29 +96,20 @@ def _ranks(n: int, probabilities: Sequence[float]) -> list[int]:
     return sorted({r for p in probabilities for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
 
 
-def _by_column(df: DataFrame, columns: Sequence[int], build: Callable[[int, Column], list[Column]]) -> dict:
-    """One row of aggregates per column, all branches in one job; the result has one small row per column."""
-    branches = [
-        df.agg(*build(i, F.col(f"x{i}"))).select(F.lit(i).alias("i"), F.struct("*").alias("s")) for i in columns
-    ]
-    return {row["i"]: row["s"] for row in reduce(DataFrame.union, branches).collect()}
+def _cells(df: DataFrame, width: int) -> DataFrame:
+    """One row for each value that is present: the number of its column, ``i``, and the value, ``x``."""
+    values = F.array(*[F.col(f"x{i}") for i in range(width)])
+    return df.select(F.posexplode(values).alias("i", "x")).where("x IS NOT NULL")
 
 
 def _sorted_ranks(df: DataFrame, width: int, probabilities: Sequence[float]) -> list[tuple[int, dict[int, float]]]:
     places = F.array(*[F.lit(float(p)) for p in probabilities])
-    branches = [
-        df.agg(F.sort_array(F.collect_list(f"x{i}")).alias("ordered")).select(
-            F.lit(i).alias("i"),
-            F.size("ordered").alias("n"),
-            F.transform(places, lambda p: F.get("ordered", F.floor(p * (F.size("ordered") - 1)).cast("int"))).alias("a"),
-            F.transform(places, lambda p: F.get("ordered", F.ceil(p * (F.size("ordered") - 1)).cast("int"))).alias("b"),
-        )
-        for i in range(width)
-    ]
-    rows = {row["i"]: row for row in reduce(DataFrame.union, branches).collect()}
+    at = lambda rounded: F.transform(places, lambda p: F.get("ordered", rounded(p * (F.size("ordered") - 1)).cast("int")))
+    ordered = _cells(df, width).groupBy("i").agg(F.sort_array(F.collect_list("x")).alias("ordered"))
+    rows = {r["i"]: r for r in ordered.select("i", F.size("ordered").alias("n"), at(F.floor).alias("a"), at(F.ceil).alias("b")).collect()}
     found = []
     for i in range(width):
-        n, values = rows[i]["n"], {}
+        n, values = (rows[i]["n"] if i in rows else 0), {}
         for p, a, b in zip(probabilities, rows[i]["a"], rows[i]["b"]) if n else ():
             values[math.floor(p * (n - 1))], values[math.ceil(p * (n - 1))] = a, b
         found.append((n, values))
@@ -128,57 +117,96 @@ def _sorted_ranks(df: DataFrame, width: int, probabilities: Sequence[float]) ->
 
 
 def _refined_ranks(df: DataFrame, width: int, probabilities: Sequence[float]) -> list[tuple[int, dict[int, float]]]:
-    first = _by_column(df, range(width), lambda i, x: [F.count(x).alias("n"), _sketch(x).alias("g")])
-    brackets = {
-        i: [Bracket(rank, 0, first[i]["n"]) for rank in _ranks(first[i]["n"], probabilities)] if first[i]["n"] else []
-        for i in range(width)
-    }
+    columns = [a for i in range(width) for a in (F.count(f"x{i}").alias(f"n{i}"), _grid(F.col(f"x{i}")).alias(f"g{i}"))]
+    first = df.agg(*columns).first()
+    counts = [first[f"n{i}"] for i in range(width)]
+    brackets = {i: [Bracket(rank, 0, counts[i]) for rank in _ranks(counts[i], probabilities)] if counts[i] else [] for i in range(width)}
     for i, wanted in brackets.items():
         for b in wanted:
-            b.propose(first[i]["g"])
-
+            b.propose(first[f"g{i}"])
+    cells = _cells(df, width)
     while True:
-        unsettled = {i: [b for b in wanted if b.value is None] for i, wanted in brackets.items()}
-        unsettled = {i: wanted for i, wanted in unsettled.items() if wanted}
-        if not unsettled:
-            return [(first[i]["n"], {b.rank: b.value for b in brackets[i]}) for i in range(width)]
-        rows = _by_column(
-            df,
-            list(unsettled),
-            lambda i, x: [F.array(*[_around(x, first[i]["n"], b) for b in unsettled[i]]).alias("around")],
-        )
-        for i, wanted in unsettled.items():
-            for b, found in zip(wanted, rows[i]["around"]):
-                if b.inside <= SORTABLE:
-                    b.value = found["values"][b.rank - b.start]
-                elif b.settle(*found["counts"]) and b.inside > SORTABLE:
-                    b.propose(found["values"])
-
-
-def _sketch(x: Column) -> Column:
-    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
-    return F.percentile_approx(x, grid, SKETCH_ACCURACY)
-
-
-def _around(x: Column, n: int, b: Bracket) -> Column:
-    """What one bracket needs: all its values once few are left, else counts and a sketch of the trial."""
-    if b.inside <= SORTABLE:
-        counts = [F.lit(0)] * 4
-        values = F.sort_array(F.collect_list(F.when(_between(x, b.low, b.high), x)))
-    else:
-        low, high = b.trial
-        counts = [
-            F.lit(0) if low is None else F.count_if(x < low),
-            F.lit(0) if low is None else F.count_if(x <= low),
-            F.lit(n) if high is None else F.count_if(x < high),
-            F.lit(n) if high is None else F.count_if(x <= high),
-        ]
-        values = _sketch(F.when(_between(x, low, high), x))
-    return F.struct(F.array(*[c.cast("long") for c in counts]).alias("counts"), values.alias("values"))
-
-
-def _between(x: Column, low: float | None, high: float | None) -> Column:
-    inner = x.isNotNull()
-    if low is not None:
-        inner = inner & (x > low)
-    return inner if high is None else inner & (x < high)
+        _settle(cells, counts, {i: [b for b in wanted if b.value is None and b.inside > SORTABLE] for i, wanted in brackets.items()})
+        open_ = {i: [b for b in wanted if b.value is None] for i, wanted in brackets.items()}
+        if not any(open_.values()):
+            return [(counts[i], {b.rank: b.value for b in brackets[i]}) for i in range(width)]
+        _look_inside(cells, open_)
+
+
+def _settle(cells: DataFrame, counts: Sequence[int], wanted: dict[int, list[Bracket]]) -> None:
+    """Count all values around the trial intervals of all columns in one scan."""
+    edges = {i: sorted({e for b in bs for e in b.trial if e is not None}) for i, bs in wanted.items() if bs}
+    if not edges:
+        return
+    # Between and on the edges of its column, a value is in cell 0, 1, 2, ...; odd cells are edges.
+    steps = []
+    for j in range(max(map(len, edges.values()))):
+        edge = _listed([edges[i][j] if i in edges and j < len(edges[i]) else None for i in range(len(counts))])
+        steps.append(F.when(F.col("x") > edge, 2).when(F.col("x") == edge, 1).otherwise(0))
+    cell = sum(steps[1:], steps[0]) if steps else F.lit(0)
+    of_column = cells.where(F.col("i").isin(list(edges)))
+    found = {(r["i"], r["cell"]): r["n"] for r in of_column.groupBy("i", cell.alias("cell")).agg(F.count("x").alias("n")).collect()}
+    for i, ends in edges.items():
+        below, upto, so_far = {}, {}, 0
+        for j, e in enumerate(ends):
+            so_far += found.get((i, 2 * j), 0)
+            below[e] = so_far
+            so_far += found.get((i, 2 * j + 1), 0)
+            upto[e] = so_far
+        for b in wanted[i]:
+            low, high = b.trial
+            under = (0, 0) if low is None else (below[low], upto[low])
+            b.settle(*under, *((counts[i], counts[i]) if high is None else (below[high], upto[high])))
+
+
+def _look_inside(cells: DataFrame, wanted: dict[int, list[Bracket]]) -> None:
+    """Read the value of a bracket that holds few, propose a narrower trial for the others, all in one scan."""
+    spans = {i: sorted({(b.low, b.high, b.inside <= SORTABLE) for b in bs}, key=repr) for i, bs in wanted.items() if bs}
+    width = max(spans) + 1
+    most = max(map(len, spans.values()))
+    slots = []
+    for j in range(most):
+        column = [spans.get(i, [])[j] if j < len(spans.get(i, [])) else None for i in range(width)]
+        low, high = _listed([c and c[0] for c in column]), _listed([c and c[1] for c in column])
+        within = (low.isNull() | (F.col("x") > low)) & (high.isNull() | (F.col("x") < high))
+        used = F.array(*[F.lit(c is not None) for c in column])
+        slots.append(F.when(F.get(used, F.col("i")) & within, F.lit(j)))
+    inside = cells.where(F.col("i").isin(list(spans))).select("i", "x", F.explode(F.array_compact(F.array(*slots))).alias("slot"))
+    short = F.array(*[F.array(*[F.lit(j < len(spans.get(i, [])) and spans[i][j][2]) for j in range(most)]) for i in range(width)])
+    few = F.get(F.get(short, F.col("i")), F.col("slot"))
+    rows = inside.withColumn("few", few).groupBy("i", "slot", "few").agg(
+        F.sort_array(F.collect_list(F.when(F.col("few"), F.col("x")))).alias("all"), _grid(F.when(~F.col("few"), F.col("x"))).alias("grid")
+    )
+    ranks = F.array(*[
+        F.array(*[F.array(*[F.lit(r) for r in _wanted_in(wanted.get(i, []), spans.get(i, []), j)]).cast("array<int>") for j in range(most)])
+        for i in range(width)
+    ])
+    of_slot = F.get(F.get(ranks, F.col("i")), F.col("slot"))
+    values = F.when(F.col("few"), F.transform(of_slot, lambda r: F.get("all", r))).otherwise(F.col("grid"))
+    found = {(r["i"], r["slot"]): r["values"] for r in rows.select("i", "slot", values.alias("values")).collect()}
+    for i, bs in wanted.items():
+        for b in bs:
+            j = spans[i].index((b.low, b.high, b.inside <= SORTABLE))
+            if b.inside <= SORTABLE:
+                b.value = found[i, j][_wanted_in(bs, spans[i], j).index(b.rank - b.start)]
+            else:
+                b.propose(found[i, j])
+
+
+def _wanted_in(brackets: Sequence[Bracket], spans: Sequence[tuple], j: int) -> list[int]:
+    """Places of the wanted values within a span that is read whole."""
+    if j >= len(spans) or not spans[j][2]:
+        return []
+    return sorted({b.rank - b.start for b in brackets if (b.low, b.high, b.inside <= SORTABLE) == spans[j]})
+
+
+def _listed(values: Sequence[float | None]) -> Column:
+    """A number for each column, picked by the column of the row."""
+    return F.get(F.array(*[F.lit(v).cast("double") for v in values]), F.col("i"))
+
+
+def _grid(x: Column) -> Column:
+    """Values at even shares of the rows, by a KLL sketch whose size follows from its accuracy; NULL without values."""
+    size = min(65535, max(8, math.ceil((2.296 * SKETCH_ACCURACY) ** (1 / 0.9723))))
+    shares = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+    return F.when(F.count(x) > 0, F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(x, F.lit(size)), shares))
