@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm import lang_id
-from tablewright.llm.common import own_names, prepare
+from tablewright.llm.common import own_names, prepare, stored
 
 MOST_TOXIC, MOST_CLEAN = 1500, 3000
 LONGEST = 4000
@@ -232,17 +232,18 @@ def coder(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "ids": [buckets(t).tobytes() for t in batch["text"]]})
 
 
-def counter(shared):
+def judge(shared, text: Column) -> Column:
     """Language and logit, in steps, of each text."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("spoken string, step long")
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         network, languages = shared.value
         for batch in batches:
-            texts = list(batch["text"])
+            texts = list(batch)
             z = np.clip(np.rint(network.logits([buckets(t) for t in texts]) / STEP), -FARTHEST, FARTHEST).astype(np.int64)
-            yield pd.DataFrame({"spoken": [a[0] for a in languages.predict(texts)], "toxic": batch["toxic"], "step": z})
+            yield pd.DataFrame({"spoken": [a[0] for a in languages.predict(texts)], "step": z})
 
-    return count
+    return judged(text)
 
 
 def learn(docs: DataFrame, labels: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", toxic: str = "toxic") -> Model:
@@ -266,17 +267,18 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, doc_id: str = "d
     if not 0 < y.sum() < len(y):
         return Model(None, share)
     fitted = np.array([zlib.crc32(b"calibration %d" % i) % 5 != 0 for i in data["doc_id"]], bool)
-    fitted_rows = chosen & short & ~held
+    fitted_rows = chosen & F.col("short") & ~held
     if not 0 < y[fitted].sum() < fitted.sum():
-        fitted, fitted_rows = np.ones(len(y), bool), chosen & short
+        fitted, fitted_rows = np.ones(len(y), bool), chosen & F.col("short")
     network = fit([np.frombuffer(b, np.int32) for b in data["ids"][fitted]], y[fitted])
     languages = lang_id.learn(known)
-    count = counter(spark.sparkContext.broadcast((network, languages)))
-    labelled = texts.join(marked, "doc_id")
+    # Texts are judged in the scan; what meets the labels is a few bytes a text.
+    judged = judge(spark.sparkContext.broadcast((network, languages)), F.col("text"))
+    judged = texts.select("doc_id", F.coalesce(short, F.lit(False)).alias("short"), judged.alias("j"))
+    labelled = stored(judged.join(marked, "doc_id").select("doc_id", "toxic", "short", "j.spoken", "j.step"), "toxicity-judged")
 
     def counted(rows: DataFrame) -> pd.DataFrame:
-        steps = rows.select("toxic", "text").mapInPandas(count, "spoken string, toxic int, step long")
-        found = steps.groupBy("spoken", "toxic", "step").agg(F.count(F.lit(1)).alias("n")).toPandas()  # bounded by languages and steps
+        found = rows.groupBy("spoken", "toxic", "step").agg(F.count(F.lit(1)).alias("n")).toPandas()  # bounded by languages and steps
         return found.assign(z=found["step"] * STEP)
 
     counts = counted(labelled.where(~fitted_rows))
