@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import own_names, prepare
+from tablewright.llm.common import as_kind, as_text, own_names, prepare
 
 ESCAPE = "\\"
 
@@ -119,7 +119,8 @@ def format_chat(conversations: DataFrame, conv_id: str = "conv_id", turn: str =
     turns = own_names(conversations, conv_id=conv_id, turn=turn, role=role, text=text)
     kind = turns.schema["conv_id"].dataType.simpleString()
     placed = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return placed.select("conv_id", "role", "text").mapInPandas(format_turns, SEGMENTS.format(kind=kind))
+    spelled = as_text(placed.select("conv_id", "role", "text"), "conv_id")
+    return as_kind(spelled.mapInPandas(format_turns, SEGMENTS.format(kind="string")), kind, "conv_id")
 
 
 _OPEN = re.compile(r"(<<SYS>> |\[INST\] |<s> |\[ROLE ((?:[^\]]|\]\\)*)\] )")
@@ -175,5 +176,5 @@ def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def conversation_digests(segments: DataFrame) -> DataFrame:
     """Digests of :func:`format_chat`'s segments, read in the partitions and the order in which it gives them."""
     kind = segments.schema["conv_id"].dataType.simpleString()
-    schema = f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, bad_turn long"
-    return segments.mapInPandas(digests, schema)
+    schema = "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, bad_turn long"
+    return as_kind(as_text(segments, "conv_id").mapInPandas(digests, schema), kind, "conv_id")

@@ -62,6 +62,15 @@ def own_names(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{name}`").alias(alias) for alias, name in columns.items()])
 
 
+def as_text(df: DataFrame, name: str = "doc_id") -> DataFrame:
+    """The id as text: pandas would turn whole numbers beside a NULL into rounded doubles."""
+    return df.withColumn(name, F.col(name).cast("string"))
+
+
+def as_kind(df: DataFrame, kind: str, name: str = "doc_id") -> DataFrame:
+    return df.withColumn(name, F.col(name).cast(kind))
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """Words between ASCII white space, A-Z lowered; none for NULL."""
     return [] if text is None else text.encode("utf-8").lower().split()

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from tablewright.llm.common import ascii_words, own_names, prepare, stored
+from tablewright.llm.common import as_kind, as_text, ascii_words, own_names, prepare, stored
 
 SHINGLE = 5
 ROWS = 5
@@ -42,7 +42,7 @@ UNIVERSE = 1 << 20
 #: Shingles whose signature rows are gathered at once (ROWS * BANDS * 4 bytes each).
 GATHER = 1 << 12
 #: Most frequent shingles of a comparison that are ordered by frequency (8 bytes each); all others go before them.
-FREQUENT = 1 << 20
+FREQUENT = 1 << 17
 #: Similarity of a link as a fraction.
 NUMERATOR, DENOMINATOR = 75, 100
 
@@ -176,7 +176,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     prepare(docs.sparkSession)
     docs = own_names(docs, doc_id=doc_id, text=text)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = stored(docs.mapInPandas(sign_texts, f"doc_id {kind}, n long, node binary, bands array<long>"), "signed")
+    signed = as_text(docs).mapInPandas(sign_texts, "doc_id string, n long, node binary, bands array<long>")
+    signed = stored(as_kind(signed, kind), "signed")
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id"))
     nodes = stored(nodes, "nodes")
     placed = nodes.select("node", "n", F.explode("bands").alias("bucket"))
@@ -228,7 +229,7 @@ def sharing_rare(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     spark = nodes.sparkSession
     sets = stored(texts.join(nodes.select("node"), "node", "left_semi").mapInPandas(long_sets, "node binary, keys array<long>"), "sets")
     often = sets.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("nodes")).where(F.col("nodes") > 2)
-    often = often.orderBy(F.desc("nodes"), "key").limit(FREQUENT).toPandas()
+    often = often.orderBy(F.desc("nodes"), "key").limit(FREQUENT).select("key").toPandas()
     rank = spark.sparkContext.broadcast(often["key"].to_numpy(np.int64)[::-1].copy())
     first = sets.mapInPandas(rare_first(rank), "node binary, key long, place long").join(nodes, "node")
     groups = first.groupBy("key", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("place").alias("place"))

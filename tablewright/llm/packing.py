@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import own_names, prepare, stored
+from tablewright.llm.common import as_kind, as_text, own_names, prepare, stored
 
 WINDOW = 4096
 CLOSING = 2
@@ -212,7 +212,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, doc_id: str = "d
     prepare(docs.sparkSession)
     docs = own_names(docs, doc_id=doc_id, text=text)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    tokens = stored(docs.mapInPandas(tokenised(tokenizer), f"doc_id {kind}, ids binary, n long, sig long"), "tokens")
+    tokens = as_text(docs).mapInPandas(tokenised(tokenizer), "doc_id string, ids binary, n long, sig long")
+    tokens = stored(as_kind(tokens, kind), "tokens")
     count, total = tokens.agg(F.count(F.lit(1)), F.sum("n")).first()
     seen = tokens.select("ids", "n").mapInPandas(token_documents, "token long, docs long").groupBy("token").agg(F.sum("docs").alias("docs")).toPandas()
     known = np.zeros(int(seen["token"].max()) + 1 if len(seen) else 1)
@@ -220,5 +221,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, doc_id: str = "d
     idf = np.log1p((count - known + 0.5) / (known + 0.5))
     shards = max(1, round((total or 0) / SHARD_TOKENS))
     dealt = tokens.repartitionByRange(shards, "sig", "doc_id").sortWithinPartitions("sig", "doc_id")
-    schema = f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-    return dealt.select("doc_id", "ids", "n").mapInPandas(packed_shard(idf, max((total or 0) / max(count, 1), 1.0), window), schema)
+    schema = "doc_id string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+    packed = packed_shard(idf, max((total or 0) / max(count, 1), 1.0), window)
+    return as_kind(as_text(dealt.select("doc_id", "ids", "n")).mapInPandas(packed, schema), kind)

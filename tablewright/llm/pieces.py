@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import own_names, prepare, stored
+from tablewright.llm.common import as_kind, as_text, own_names, prepare, stored
 
 MARK = "▁"
 BLOCK_BYTES = 16 << 20
@@ -132,7 +132,7 @@ def encode_texts(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
     sorted_words = words.repartitionByRange(max(blocks, spark.sparkContext.defaultParallelism), "word").sortWithinPartitions("word")
     table = stored(sorted_words.mapInPandas(encoder(model), "word string, ids binary"), "word-ids")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, ids binary, round_trip boolean"
+    schema = "doc_id string, ids binary, round_trip boolean"
 
     def assemble(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         vocabulary = Vocabulary(model)
@@ -143,9 +143,10 @@ def encode_texts(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
             rows.append((name, ids, True if text is None else decode(vocabulary, np.frombuffer(ids, "<u4").tolist()) == text))
         return pd.DataFrame(rows, columns=["doc_id", "ids", "round_trip"])
 
-    placed = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    placed = as_text(docs).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     vocabulary = placed.groupBy("block").applyInPandas(block_words, "block int, word string").join(table, "word")
-    return placed.groupBy("block").cogroup(vocabulary.select("block", "word", "ids").groupBy("block")).applyInPandas(assemble, schema)
+    encoded = placed.groupBy("block").cogroup(vocabulary.select("block", "word", "ids").groupBy("block")).applyInPandas(assemble, schema)
+    return as_kind(encoded, kind)
 
 
 def decode_texts(encoded: DataFrame, model: str) -> DataFrame:
@@ -158,4 +159,4 @@ def decode_texts(encoded: DataFrame, model: str) -> DataFrame:
             texts = [None if i is None else decode(vocabulary, np.frombuffer(i, "<u4").tolist()) for i in batch["ids"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": texts})
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, f"doc_id {kind}, text string")
+    return as_kind(as_text(encoded.select("doc_id", "ids")).mapInPandas(run, "doc_id string, text string"), kind)
