@@ -18,8 +18,9 @@ def shared_checkpoints(spark: SparkSession) -> bool:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The table written once to the cluster's shared checkpoint folder, or unchanged where none is configured."""
-    return df.checkpoint(eager=True) if shared_checkpoints(df.sparkSession) else df
+    """The table computed once: written to the cluster's shared checkpoint folder, or, where none is configured, kept in
+    executor storage as it is first read."""
+    return df.checkpoint(eager=True) if shared_checkpoints(df.sparkSession) else df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 @contextmanager
