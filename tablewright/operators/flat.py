@@ -21,8 +21,8 @@ from tablewright.operators.profile import (
     is_class_like,
     outside,
     pearson,
-    row_identity,
 )
+from tablewright.operators.repeats import count_repeats
 
 FLAT_COLUMNS = (
     "missing_values",
@@ -56,7 +56,7 @@ def _profiles(df: DataFrame, by: str | None, target: str) -> DataFrame:
     keyed = df.withColumn("_segment", F.lit(0) if by is None else col(by))
     groups = [] if by is None else ["_segment"]
 
-    parts = [_cells(keyed, groups, body.columns, strings, fences), _repeats(keyed, groups, body)]
+    parts = [_cells(keyed, groups, body.columns, strings, fences), _repeats(keyed.select(*groups, *[col(c) for c in body.columns]), groups)]
     if is_class_like(df, target):
         parts.append(_ratios(keyed, groups, target))
     pairs = len(numeric) * (len(numeric) - 1) // 2
@@ -75,7 +75,7 @@ def _profiles(df: DataFrame, by: str | None, target: str) -> DataFrame:
     ready = merged.select(
         *[F.col(g) for g in groups],
         percent(F.col("_missing"), rows * width).alias("missing_values"),
-        percent(F.col("_repeats"), rows).alias("duplicates"),
+        percent(F.coalesce("_repeats", F.lit(0)), rows).alias("duplicates"),
         (percent(F.col("_outliers"), rows * len(numeric)) if numeric else F.lit(0.0)).alias("outliers"),
         present("_ratio", 1.0).alias("imbalance_ratio"),
         (present("_flagged", 0.0) * 100.0 / max(pairs, 1)).alias("high_correlation_pct"),
@@ -114,10 +114,9 @@ def _cells(keyed: DataFrame, groups: list[str], names: list[str], strings: list[
     )
 
 
-def _repeats(keyed: DataFrame, groups: list[str], body: DataFrame) -> DataFrame:
-    rows = keyed.select(*groups, *row_identity(body))
-    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
-    return counted.groupBy(*groups).agg(F.sum(F.col("_n") - 1).alias("_repeats"))
+def _repeats(keyed: DataFrame, groups: list[str]) -> DataFrame:
+    """Repeated rows of each segment: equal rows of one segment agree in the segment column too."""
+    return count_repeats(keyed, groups).withColumnRenamed("repeats", "_repeats")
 
 
 def _ratios(keyed: DataFrame, groups: list[str], target: str) -> DataFrame:

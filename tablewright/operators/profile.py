@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +16,6 @@ from pyspark.sql import types as T
 from tablewright.functions import scoring
 from tablewright.functions.columns import (
     col,
-    groupable,
     numeric_columns,
     percent,
     read_number,
@@ -27,6 +25,7 @@ from tablewright.functions.columns import (
 from tablewright.functions.together import together
 from tablewright.operators.moments import all_pair_moments
 from tablewright.operators.quantiles import quantiles
+from tablewright.operators.repeats import all_different, count_repeats
 
 CLASS_LIMIT = 20
 # A distinct count estimated below this share of the rows is five sketch deviations away from "all different".
@@ -72,38 +71,16 @@ def missing_summary(df: DataFrame) -> DataFrame:
 # ---- duplicates ---------------------------------------------------------------------------------------------------
 
 
-def _is_narrow(df: DataFrame) -> bool:
-    fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
-    return len(df.columns) <= 4 and all(isinstance(f.dataType, fixed) for f in df.schema)
-
-
-def row_identity(df: DataFrame, exact: bool = False) -> list[Column]:
-    """What makes two rows equal, as grouping keys.
+def duplicate_summary(df: DataFrame, exact: bool = False) -> DataFrame:
+    """Rows beyond the first of each group of equal rows (NULL equals NULL), their share and severity, in one row.
 
-    A narrow row is its own key.  A wide one is grouped by two independent 64-bit hashes of its values and NULL flags, so the
-    shuffle carries 16 bytes per row instead of the row; at 10^12 rows the chance of one false match is about 10^-15.
-    ``exact=True`` groups by the values themselves.
+    Both ways are exact; ``exact=True`` shuffles the values at once instead of digests first.
     """
-    keys = groupable(df)
-    if exact or _is_narrow(df):
-        return keys
-    plain = [k for name in df.columns for k in (_hashable(df, name), col(name).isNull())]
-    return [F.xxhash64(F.lit("a"), *plain).alias("_h1"), F.xxhash64(F.lit("b"), *plain).alias("_h2")]
-
-
-def _hashable(df: DataFrame, name: str) -> Column:
-    if isinstance(df.schema[name].dataType, T.MapType):
-        return F.array_sort(F.map_entries(col(name)))
-    return col(name)
-
-
-def duplicate_summary(df: DataFrame, exact: bool = False) -> DataFrame:
-    """Rows beyond the first of each group of equal rows (NULL equals NULL), their share and severity, in one row."""
-    groups = df.select(*row_identity(df, exact))
-    groups = groups.groupBy(*groups.columns).agg(F.count(F.lit(1)).alias("_n"))
-    total = groups.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows")
+    nothing = F.lit(0).cast("long")
+    counted = df.agg(F.count(F.lit(1)).alias("rows"), nothing.alias("duplicate_rows")).unionByName(
+        count_repeats(df, exact=exact).select(nothing.alias("rows"), F.col("repeats").alias("duplicate_rows"))
     )
+    total = counted.agg(F.sum("rows").alias("rows"), F.sum("duplicate_rows").alias("duplicate_rows"))
     pct = percent(F.col("duplicate_rows"), F.col("rows"))
     return total.select(
         "rows",
@@ -120,13 +97,13 @@ def duplicate_summary(df: DataFrame, exact: bool = False) -> DataFrame:
 def id_like_columns(df: DataFrame) -> DataFrame:
     """String columns in which every row holds a different, non-missing value.
 
-    A bounded sketch (one scan, all columns) rules out almost every column; only survivors are grouped, each in its own branch, so
-    no aggregate expands the table.  They are grouped by two 64-bit hashes, so long texts are not shuffled.
+    A bounded sketch (one scan, all columns) rules out almost every column; only survivors are counted, each on its own, so
+    no aggregate expands the table.  They are counted by two 64-bit hashes, so long texts are not shuffled; values of
+    equal hashes are compared.
     """
     spark, names = df.sparkSession, string_columns(df)
-    empty = spark.createDataFrame([], "column string, distinct_values bigint")
     if not names:
-        return empty
+        return spark.createDataFrame([], "column string, distinct_values bigint")
     screen = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(names)],
@@ -135,17 +112,9 @@ def id_like_columns(df: DataFrame) -> DataFrame:
     survivors = [
         c for i, c in enumerate(names) if screen[f"n{i}"] == screen["rows"] and screen[f"d{i}"] >= SURELY_REPEATED * screen["rows"]
     ]
-    if not survivors:
-        return empty
-    branches = [
-        df.groupBy(F.xxhash64(F.lit("a"), col(c)).alias("h1"), F.xxhash64(F.lit("b"), col(c)).alias("h2"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("distinct_values"))
-        .filter("most = 1")
-        .select(F.lit(c).alias("column"), "distinct_values")
-        for c in survivors
-    ]
-    return reduce(DataFrame.union, branches)
+    different = together(spark, [lambda c=c: all_different(df.select(col(c))) for c in survivors])
+    found = [(c, screen["rows"]) for c, alone in zip(survivors, different) if alone]
+    return spark.createDataFrame(found, "column string, distinct_values bigint")
 
 
 # ---- outliers -----------------------------------------------------------------------------------------------------
