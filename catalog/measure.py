@@ -10,6 +10,7 @@ from catalog.views import dirty_orders, table
 from tablewright.functions import metrics as M
 from tablewright.operators import impact as I
 from tablewright.operators import tasks as K
+from tablewright.operators.auc import class_auc, rank_sum_auc
 from tablewright.operators.fixes import apply_fixes
 from tablewright.operators.models import cross_validate
 from tablewright.operators.ranking import stratified_split
@@ -72,6 +73,59 @@ def m09(spark, sf):
     return cross_validate(_vectors(spark, sf, "o_orderstatus"), ["lr"], folds=2, **SIZE).select("model", "roc_auc")
 
 
+# Prices in steps of 500, so that scores tie; a missing price has no score, which ranks lowest.
+_STEPPED = "floor(o_totalprice / 500)"
+
+
+@query(
+    "m08_rank_sum_auc",
+    sql.with_ctes(
+        "SELECT fold, count(*) AS rows, sum(y)::BIGINT AS positives, round((sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2::DOUBLE) "
+        "/ (sum(y) * (count(*) - sum(y))), 6) AS auc FROM (SELECT fold, y, rank() OVER (PARTITION BY fold ORDER BY score NULLS FIRST) + "
+        "(count(*) OVER (PARTITION BY fold, score) - 1) / 2::DOUBLE AS r FROM scored) GROUP BY fold",
+        ["dirty_orders"],
+        ("scored", f"SELECT o_orderkey % 3 AS fold, {_STEPPED} AS score, (o_totalprice IS NOT NULL AND (o_totalprice > 150000) <> (o_orderkey % 7 = 0))::INT AS y FROM dirty_orders"),
+    ),
+)
+def m08_rank_sum(spark, sf):
+    """Prices as a score of the noisy class, per fold."""
+    orders = labelled_orders(spark, sf)
+    high = F.col("o_totalprice").isNotNull() & (F.col("cls") == "high")
+    scored = orders.select((F.col("o_orderkey") % 3).alias("fold"), F.expr(_STEPPED).alias("score"), high.alias("positive"))
+    return rounded(rank_sum_auc(scored, ["fold"]), "auc")
+
+
+# One score per order status, in the order of the codes.
+_STATUS_SCORES = ("floor(o_totalprice / 500)", "-floor(o_totalprice / 500)", "o_custkey % 50")
+_STATUS = ("F", "O", "P")
+
+
+@query(
+    "m09_one_vs_rest_auc",
+    sql.with_ctes(
+        "SELECT fold, round(sum(coalesce((pos_ranks - p * (p + 1) / 2::DOUBLE) / nullif(p * (n - p), 0), 0) * p / n), 6) AS roc_auc FROM ("
+        "SELECT fold, c, count(*) AS n, count(*) FILTER (WHERE y = c) AS p, coalesce(sum(r) FILTER (WHERE y = c), 0) AS pos_ranks FROM ("
+        "SELECT fold, c, y, rank() OVER (PARTITION BY fold, c ORDER BY score NULLS FIRST) + (count(*) OVER (PARTITION BY fold, c, score) - 1) / 2::DOUBLE AS r "
+        "FROM scored) GROUP BY fold, c) GROUP BY fold",
+        ["dirty_orders"],
+        (
+            "scored",
+            " UNION ALL ".join(
+                f"SELECT o_orderkey % 2 AS fold, '{c}' AS c, o_orderstatus AS y, ({s})::DOUBLE AS score FROM dirty_orders WHERE o_orderstatus IS NOT NULL"
+                for c, s in zip(_STATUS, _STATUS_SCORES)
+            ),
+        ),
+    ),
+)
+def m09_one_vs_rest(spark, sf):
+    """Three scores, one for each order status, against the rest and weighted by the share of the status."""
+    orders = labelled_orders(spark, sf).filter("o_orderstatus IS NOT NULL")
+    codes = F.when(F.col("o_orderstatus") == "F", 0.0).when(F.col("o_orderstatus") == "O", 1.0).otherwise(2.0)
+    scores = F.array(*[F.expr(s).cast("double") for s in _STATUS_SCORES])
+    scored = orders.select((F.col("o_orderkey") % 2).alias("fold"), codes.alias("label"), scores.alias("scores"))
+    return rounded(class_auc(scored, [0.0, 1.0, 2.0], ["fold"]), "roc_auc")
+
+
 # ---- metrics over a table of rule predictions ---------------------------------------------------------------------
 
 

@@ -1,6 +1,6 @@
 """Model evaluation with stratified cross-validation on Spark ML.
 
-Each fold of each model is fitted once; accuracy, weighted F1 and ROC-AUC all come from the same predictions.
+Each fold of each model is fitted once; accuracy, weighted F1 and ROC-AUC all come from the same kept predictions.
 """
 
 from __future__ import annotations
@@ -11,19 +11,21 @@ from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import col
+from tablewright.functions.lineage import kept
 from tablewright.functions.metrics import classification_metrics
 from tablewright.functions.together import together
+from tablewright.operators.auc import class_auc
 from tablewright.operators.ranking import stratified_folds
 
 ROWS_PER_PARTITION = 20_000
-METRICS_SCHEMA = "model string, accuracy double, f1 double, roc_auc double"
+MEASURES = ("accuracy", "f1", "roc_auc")
+METRICS_SCHEMA = "model string, accuracy double, f1 double, roc_auc double, failed_folds int, error string"
 
 
 def build_model(name: str, rows: int, classes: int, seed: int = 42, **size):
@@ -72,23 +74,24 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(1, math.ceil(rows / ROWS_PER_PARTITION)))
 
 
-def roc_auc(scored: DataFrame, classes: Sequence[float]) -> float:
-    """Binary ROC-AUC, or one-vs-rest AUC weighted by class share."""
-    if len(classes) < 2:
-        return 0.0
-    score = "probability" if "probability" in scored.columns else "rawPrediction"
-    measure = BinaryClassificationEvaluator(rawPredictionCol="_score", labelCol="_is")
-    values = vector_to_array(F.col(score))
-    if len(classes) == 2:
-        one = scored.select(values[1].alias("_score"), (F.col("label") == classes[1]).cast("double").alias("_is"))
-        return measure.evaluate(one)
-    shares = {r["label"]: r["count"] for r in scored.groupBy("label").count().collect()}
-    total, weighted = sum(shares.values()), 0.0
-    for c in classes:
-        if 0 < shares.get(c, 0) < total:
-            one = scored.select(F.get(values, F.lit(int(c))).alias("_score"), (F.col("label") == c).cast("double").alias("_is"))
-            weighted += measure.evaluate(one) * shares[c] / total
-    return weighted
+def score_array(scored: DataFrame) -> Column:
+    """One score per class: probabilities, or raw predictions of a model that has none."""
+    return vector_to_array(F.col("probability" if "probability" in scored.columns else "rawPrediction"))
+
+
+def _measured(predictions: DataFrame, classes: Sequence[float]) -> list[dict]:
+    """Accuracy, weighted F1 and ROC-AUC of every model and fold, from predictions computed once."""
+    by, spark = ["model", "fold"], predictions.sparkSession
+    with kept(predictions) as (stored,):
+        jobs = [lambda: classification_metrics(stored.select(*by, "label", "prediction"), by).collect()]
+        if len(classes) > 1:
+            jobs.append(lambda: class_auc(stored, classes, by).collect())
+        rates, *areas = together(spark, jobs)
+    auc = {(r["model"], r["fold"]): r["roc_auc"] for r in areas[0]} if areas else {}
+    return [
+        {"model": r["model"], "accuracy": r["accuracy"], "f1": r["weighted_f1"], "roc_auc": auc.get((r["model"], r["fold"]), 0.0)}
+        for r in rates
+    ]
 
 
 def cross_validate(
@@ -100,9 +103,11 @@ def cross_validate(
     at_once: int = 4,
     **size,
 ) -> DataFrame:
-    """Mean accuracy, weighted F1 and ROC-AUC over stratified folds, one row per model; a failing fold scores 0.
+    """Mean accuracy, weighted F1 and ROC-AUC over stratified folds, one row per model.
 
-    Up to ``at_once`` folds are fitted side by side; the predictions of all folds and models are measured in one job.
+    Up to ``at_once`` folds are fitted side by side; the predictions of all folds and models are kept and measured together, classes
+    and folds in one job each for the rates and for the areas.  A fold that cannot be fitted scores 0 and is
+    counted in ``failed_folds``; ``error`` is its message.
     """
     counts = {r["label"]: r["count"] for r in data.groupBy("label").count().collect()}
     rows, classes = sum(counts.values()), sorted(c for c in counts if c is not None)
@@ -111,29 +116,27 @@ def cross_validate(
     folded = sized(folded, rows).persist(StorageLevel.MEMORY_AND_DISK)
     spark, runs = data.sparkSession, [(name, i) for name in models for i in range(k)]
 
-    def run(name: str, i: int) -> tuple[DataFrame, float] | None:
+    def run(name: str, i: int) -> DataFrame | str:
         try:
             fitted = build_model(name, max(1, rows - rows // k), len(classes), seed, **size).fit(folded.filter(F.col("fold") != i))
-            scored = fitted.transform(folded.filter(F.col("fold") == i))
-            kept = scored.select(F.lit(name).alias("model"), F.lit(i).alias("fold"), "label", "prediction")
-            return kept, roc_auc(scored, classes)
         except Exception as error:  # one failing fold must not end the comparison
-            print(f"{name} fold {i} failed: {type(error).__name__}: {error}"[:200])
-            return None
+            return f"fold {i}: {type(error).__name__}: {error}"[:200]
+        scored = fitted.transform(folded.filter(F.col("fold") == i))
+        return scored.select(
+            F.lit(name).alias("model"), F.lit(i).alias("fold"), "label", "prediction", score_array(scored).alias("scores")
+        )
 
     try:
         folded.count()
         done = together(spark, [lambda n=n, i=i: run(n, i) for n, i in runs], at_once)
-        auc = dict.fromkeys(models, 0.0)
-        for (name, _), outcome in zip(runs, done):
-            auc[name] += outcome[1] / k if outcome else 0.0
-        sums = {name: [0.0, 0.0] for name in models}
-        predictions = [outcome[0] for outcome in done if outcome]
+        errors = {name: [e for (n, _), e in zip(runs, done) if n == name and isinstance(e, str)] for name in models}
+        sums = {name: {m: 0.0 for m in MEASURES} for name in models}
+        predictions = [outcome for outcome in done if isinstance(outcome, DataFrame)]
         if predictions:
-            for r in classification_metrics(reduce(DataFrame.union, predictions), ["model", "fold"]).collect():
-                sums[r["model"]][0] += r["accuracy"] / k
-                sums[r["model"]][1] += r["weighted_f1"] / k
-        results = [(name, *sums[name], auc[name]) for name in models]
+            for r in _measured(reduce(DataFrame.union, predictions), classes):
+                for measure in MEASURES:
+                    sums[r["model"]][measure] += (r[measure] or 0.0) / k
+        results = [(name, *sums[name].values(), len(errors[name]), next(iter(errors[name]), None)) for name in models]
     finally:
         folded.unpersist()
     return spark.createDataFrame(results, METRICS_SCHEMA)

@@ -239,3 +239,26 @@ def ordinal_codes(values: DataFrame, column: str, blocks: int | None = None) ->
         _carried(sizes, [], total=["_before"]), F.col("_block") == F.col("_kb")
     )
     return ranked.select(col(column).alias("value"), (F.col("_r") - 1 + F.col("_before")).cast("long").alias("code"))
+
+
+def totals_before(
+    df: DataFrame, order_by: str, columns: Sequence[str], partition_by: Sequence[str] = (), blocks: int | None = None
+) -> DataFrame:
+    """The table with ``<column>_before``: the sum over all rows of smaller order in the same partition, 0 for the first.
+
+    ``order_by`` must be unique within a partition; NULL is the smallest.
+    """
+    keys = list(partition_by)
+    blocks = block_count(df) if blocks is None else blocks
+    groups = [col(k) for k in keys]
+    sums = {c: F.sum(col(c)) for c in columns}
+    if blocks <= 1:
+        earlier = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(col(order_by)).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", *[F.coalesce(s.over(earlier), F.lit(0)).alias(f"{c}_before") for c, s in sums.items()])
+    work = in_blocks(df, order_by, blocks)
+    ends = work.groupBy(*groups, "_range", "_block").agg(*[s.alias(f"_e{i}") for i, s in enumerate(sums.values())])
+    inside = Window.partitionBy(*groups, "_block").orderBy(col(order_by)).rowsBetween(Window.unboundedPreceding, -1)
+    local = work.select("*", *[F.coalesce(s.over(inside), F.lit(0)).alias(f"_s{i}") for i, s in enumerate(sums.values())])
+    joined = local.join(_carried(ends, keys, total=[f"_e{i}" for i in range(len(sums))]), _same(keys, ("_block", "_kb")))
+    before = [(F.col(f"_s{i}") + F.col(f"_e{i}")).alias(f"{c}_before") for i, c in enumerate(columns)]
+    return joined.select(*[col(c) for c in df.columns], *before)
