@@ -12,6 +12,7 @@ from tablewright.operators import gain as G
 from tablewright.operators import history as H
 from tablewright.operators import outcomes as O
 from tablewright.operators.flat import segment_profiles
+from tablewright.operators.linear import cross_fit_linear, fit_linear
 from tablewright.sources import files as S
 
 # ---- fix history: the default effects and the effects repairs have on each customer's orders -----------------------
@@ -265,6 +266,56 @@ def pm05(spark, sf):
     return model.predict(profiles(spark, sf), ["profile_id"])
 
 
+# The gain from the missing share alone, so that SQL's regression functions can tell it.
+_ONE_FEATURE = ("g", "SELECT seg AS o_custkey, seg % 5 AS fold, missing_values AS x, f1_improvement AS y FROM gains")
+
+
+@query(
+    "pm03_linear_fit",
+    sql.with_ctes(
+        "SELECT count(*) AS rows, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(regr_r2(y, x), 6) AS r2 FROM g",
+        ["dirty_orders"],
+        *_GAIN_CTES,
+        _ONE_FEATURE,
+    ),
+)
+def pm03_linear(spark, sf):
+    fit = fit_linear(measured_gains(spark, sf), ["missing_values"], "f1_improvement")
+    found = [(fit.rows, fit.coefficients[0], fit.intercept, fit.r2)]
+    return rounded(spark.createDataFrame(found, "rows bigint, slope double, intercept double, r2 double"), "slope", "intercept", "r2")
+
+
+@query(
+    "pm04_linear_folds",
+    sql.with_ctes(
+        "SELECT fold, count(*) AS rows, round(sqrt(avg(e * e)), 6) AS rmse, round(1 - avg(e * e) / var_pop(y), 6) AS r2 FROM "
+        "(SELECT g.fold, y, y - b - a * x AS e FROM g JOIN fits USING (fold)) GROUP BY fold",
+        ["dirty_orders"],
+        *_GAIN_CTES,
+        _ONE_FEATURE,
+        ("fits", "SELECT f.fold, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM (SELECT DISTINCT fold FROM g) f JOIN g ON g.fold <> f.fold GROUP BY f.fold"),
+    ),
+)
+def pm04_linear(spark, sf):
+    gains = measured_gains(spark, sf).withColumn("fold", F.col("o_custkey") % 5)
+    return rounded(cross_fit_linear(gains, ["missing_values"], "f1_improvement", "fold")[1], "rmse", "r2")
+
+
+@query(
+    "pm05_linear_prediction",
+    sql.with_ctes(
+        "SELECT o_custkey, round(b + a * x, 6) AS predicted_f1_improvement FROM g, (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM g)",
+        ["dirty_orders"],
+        *_GAIN_CTES,
+        _ONE_FEATURE,
+    ),
+)
+def pm05_linear(spark, sf):
+    gains = measured_gains(spark, sf)
+    fit = fit_linear(gains, ["missing_values"], "f1_improvement")
+    return rounded(gains.select("o_custkey", fit.predicted().alias("predicted_f1_improvement")), "predicted_f1_improvement")
+
+
 _PREDICTED = "SELECT seg AS o_custkey, f1_improvement AS p FROM gains"
 
 

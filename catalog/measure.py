@@ -261,6 +261,15 @@ def m18(spark, sf):
     return I.compare_arms(labelled_orders(spark, sf), "cls", KEYS, models=("lr",), exclude=KEYS, folds=2, **SIZE)
 
 
+SPLIT_CTES = [
+    ("base", "SELECT DISTINCT * FROM labelled"),
+    (
+        "flagged",
+        "SELECT * EXCLUDE (n, rn), rn <= round(n * 0.2::DOUBLE) AS is_test FROM (SELECT *, count(*) OVER (PARTITION BY cls) AS n, "
+        "row_number() OVER (PARTITION BY cls ORDER BY " + sql.hash_key("o_orderkey") + ", o_orderkey) AS rn FROM base)",
+    ),
+]
+
 # ---- generalization -----------------------------------------------------------------------------------------------
 
 
@@ -273,12 +282,7 @@ def m18(spark, sf):
         "UNION ALL SELECT 'test_fixed', o_totalprice FROM (SELECT DISTINCT * FROM flagged WHERE is_test AND o_totalprice IS NOT NULL AND o_orderpriority IS NOT NULL)) GROUP BY part",
         ["dirty_orders"],
         LABELLED,
-        ("base", "SELECT DISTINCT * FROM labelled"),
-        (
-            "flagged",
-            "SELECT * EXCLUDE (n, rn), rn <= round(n * 0.2::DOUBLE) AS is_test FROM (SELECT *, count(*) OVER (PARTITION BY cls) AS n, "
-            "row_number() OVER (PARTITION BY cls ORDER BY " + sql.hash_key("o_orderkey") + ", o_orderkey) AS rn FROM base)",
-        ),
+        *SPLIT_CTES,
     ),
 )
 def g02(spark, sf):
@@ -330,6 +334,35 @@ def k02(spark, sf):
     return K.task_impact("regression", train, test, fixed, ["o_custkey", "cls"], "o_totalprice", trees=5, depth=4)
 
 
+_FIXED_TEST = "SELECT DISTINCT o_orderkey, y, x FROM flagged_y WHERE is_test AND o_orderpriority IS NOT NULL"
+_SIDES = {"original": "SELECT o_orderkey, y, x FROM flagged_y WHERE is_test", "fixed": _FIXED_TEST}
+
+
+@query(
+    "k02_linear_impact",
+    sql.with_ctes(
+        "SELECT 'regression' AS task, 'lr' AS model, metric, round(original, 6) AS original, round(fixed, 6) AS fixed, "
+        "round(CASE WHEN original > 0 THEN CASE WHEN metric = 'r2' THEN fixed - original ELSE original - fixed END / original * 100 ELSE 0 END, 6) AS improvement_pct FROM ("
+        + " UNION ALL ".join(
+            f"SELECT '{m}' AS metric, max({m}) FILTER (WHERE side = 'original') AS original, max({m}) FILTER (WHERE side = 'fixed') AS fixed FROM measured"
+            for m in ("rmse", "mae", "r2")
+        )
+        + ")",
+        ["dirty_orders"],
+        LABELLED,
+        *SPLIT_CTES,
+        ("flagged_y", "SELECT *, o_totalprice AS y, (cls = 'high')::INT::DOUBLE AS x FROM flagged WHERE o_totalprice IS NOT NULL"),
+        ("plane", "SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM flagged_y WHERE NOT is_test"),
+        ("errors", " UNION ALL ".join(f"SELECT '{side}' AS side, y, y - b - a * x AS e FROM ({rows}), plane" for side, rows in _SIDES.items())),
+        ("measured", "SELECT side, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae, 1 - avg(e * e) / var_pop(y) AS r2 FROM errors GROUP BY side"),
+    ),
+)
+def k02_linear(spark, sf):
+    train, test, fixed = (t.filter("o_totalprice IS NOT NULL") for t in _coded(*_split(spark, sf)))
+    impact = K.task_impact("regression", train, test, fixed, ["cls"], "o_totalprice", models=("lr",))
+    return rounded(impact, "original", "fixed", "improvement_pct")
+
+
 @query(
     "k02_regression_metrics",
     "SELECT p_brand, count(*) AS rows, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(abs(e)), 6) AS mae, "

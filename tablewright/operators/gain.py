@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.columns import col, hash_key
 from tablewright.functions.metrics import regression_metrics
 from tablewright.operators.fixes import apply_fixes, scale_features
+from tablewright.operators.linear import cross_fit_linear
 from tablewright.operators.models import sized
 
 # What a profile is taken to be where it says nothing.
@@ -92,23 +93,32 @@ class GainModel:
                 raise ValueError("training data cannot be empty")
             data = sized(data, rows)
             self.model = self._pipeline().fit(data)
-            label = F.col("f1_improvement").alias("label")
-            predicted = F.col("predicted_f1_improvement").alias("prediction")
-            whole = regression_metrics(self.model.transform(data).select(label, predicted)).first()
-            scored = []
-            for i in range(folds):
-                train, test = data.filter(F.col("fold") != i), data.filter(F.col("fold") == i)
-                if not train.isEmpty() and not test.isEmpty():
-                    scored.append(self._pipeline().fit(train).transform(test).select(F.lit(i).alias("fold"), label, predicted))
-            per_fold = regression_metrics(reduce(DataFrame.union, scored), ["fold"]) if scored else None
-            cv = per_fold.agg(F.avg("r2").alias("m"), F.stddev_pop("r2").alias("s")).first() if scored else None
+            train_r2, by_fold = self._cross_fitted(data) if self.kind == "lr" else self._refitted(data, folds)
+            cv = by_fold.agg(F.avg("r2").alias("m"), F.stddev_pop("r2").alias("s")).first() if by_fold is not None else None
             return data.sparkSession.createDataFrame(
-                [(self.kind, rows, len(FEATURES), whole["r2"], cv and cv["m"], cv and cv["s"])],
+                [(self.kind, rows, len(FEATURES), train_r2, cv and cv["m"], cv and cv["s"])],
                 "kind string, n_samples bigint, n_features int, train_r2 double, cv_r2_mean double, cv_r2_std double",
             )
         finally:
             stored.unpersist()
 
+    def _cross_fitted(self, data: DataFrame) -> tuple[float | None, DataFrame]:
+        """Train R2 and the R2 of every fold from the sums of products of the folds: no fold is fitted by a job of its own."""
+        whole, by_fold = cross_fit_linear(data, FEATURES, "f1_improvement", "fold")
+        return whole.r2, by_fold
+
+    def _refitted(self, data: DataFrame, folds: int) -> tuple[float | None, DataFrame | None]:
+        """The same by a fit per fold."""
+        label = F.col("f1_improvement").alias("label")
+        predicted = F.col("predicted_f1_improvement").alias("prediction")
+        whole = regression_metrics(self.model.transform(data).select(label, predicted)).first()
+        scored = []
+        for i in range(folds):
+            train, test = data.filter(F.col("fold") != i), data.filter(F.col("fold") == i)
+            if not train.isEmpty() and not test.isEmpty():
+                scored.append(self._pipeline().fit(train).transform(test).select(F.lit(i).alias("fold"), label, predicted))
+        return whole["r2"], regression_metrics(reduce(DataFrame.union, scored), ["fold"]) if scored else None
+
     def _trained(self) -> PipelineModel:
         if self.model is None:
             raise RuntimeError("the model must be trained first")

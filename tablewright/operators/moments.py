@@ -65,13 +65,22 @@ def _block_rows(df: DataFrame, names: Sequence[str], middles: Mapping[str, float
     return rows.select(*[col(g) for g in groups], F.col("_b.p").alias("_p"), F.col("_b.q").alias("_q"), *side("p", "_x"), *side("q", "_y"))
 
 
-def _products(df: DataFrame, names: Sequence[str], moments: Mapping[str, tuple[int, int, float, float]]) -> DataFrame:
+def product_sums(df: DataFrame, names: Sequence[str], middles: Mapping[str, float], groups: Sequence[str] = ()) -> DataFrame:
+    """(groups..., i, j, xy): the sum of products of every two columns i <= j, by their places, relative to the middles.
+
+    For columns without gaps: a product with NULL is left out of its sum.
+    """
     width = min(WIDE_BLOCK, len(names))
-    rows = _block_rows(df, names, {c: moments[c][2] for c in names}, (), width, len(names))
+    rows = _block_rows(df, names, middles, groups, width, len(names))
     cells = [(i, j) for i in range(width) for j in range(width)]
     sums = [F.sum(F.col(f"_x{i}") * F.col(f"_y{j}")).alias(f"xy_{i}_{j}") for i, j in cells]
     place = [F.struct((F.col("_p") * width + i).alias("i"), (F.col("_q") * width + j).alias("j"), F.col(f"xy_{i}_{j}").alias("xy")) for i, j in cells]
-    found = rows.groupBy("_p", "_q").agg(*sums).select(F.inline(F.array(*place))).where((F.col("i") < F.col("j")) & (F.col("j") < len(names)))
+    found = rows.groupBy(*[col(g) for g in groups], "_p", "_q").agg(*sums).select(*[col(g) for g in groups], F.inline(F.array(*place)))
+    return found.where((F.col("i") <= F.col("j")) & (F.col("j") < len(names)))
+
+
+def _products(df: DataFrame, names: Sequence[str], moments: Mapping[str, tuple[int, int, float, float]]) -> DataFrame:
+    found = product_sums(df, names, {c: moments[c][2] for c in names}).where("i < j")
     listed = lambda values, at: F.get(F.array(*[F.lit(v) for v in values]), F.col(at))
     rows_all, spread = moments[names[0]][0], [moments[c][3] for c in names]
     return found.select(

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import col
+from tablewright.functions.lineage import kept
 from tablewright.functions.metrics import classification_metrics, davies_bouldin, regression_metrics
+from tablewright.operators.linear import fit_linear
 from tablewright.operators.models import assemble, build_model, sized
 
 TASK_SCHEMA = "task string, model string, metric string, original double, fixed double, improvement_pct double"
@@ -60,31 +62,40 @@ def regression_impact(
     trees: int = 50,
     depth: int = 10,
     seed: int = 42,
+    models: Sequence[str] = ("rf", "lr"),
 ) -> DataFrame:
     """RMSE, MAE and R2 on the test table and on its repaired version; improvement is the error's reduction."""
-    data = sized(assemble(train, features, target), train.count()).persist(StorageLevel.MEMORY_AND_DISK)
-    learners = {
-        "rf": RandomForestRegressor(numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=seed),
-        "lr": LinearRegression(),
-    }
     rows = []
-    try:
-        for name, learner in learners.items():
-            model = learner.fit(data)
-            before, after = (
-                regression_metrics(model.transform(assemble(t, features, target)).select("label", "prediction")).first()
-                for t in (test, fixed_test)
-            )
+    with kept(*[_plain(t, features, target) for t in (train, test, fixed_test)]) as (data, *sides):
+        for name in models:
+            predicted = _predictor(name, data, features, trees, depth, seed)
+            before, after = (regression_metrics(predicted(t)).first() for t in sides)
             for metric in ("rmse", "mae"):
                 rows.append(
                     ("regression", name, metric, before[metric], after[metric], _relative(before[metric] - after[metric], before[metric]))
                 )
             rows.append(("regression", name, "r2", before["r2"], after["r2"], _relative(after["r2"] - before["r2"], before["r2"])))
-    finally:
-        data.unpersist()
     return train.sparkSession.createDataFrame(rows, TASK_SCHEMA)
 
 
+def _plain(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
+    """Features as doubles, 0 where they are missing, and the label; rows without a label are left out."""
+    filled = [F.coalesce(col(c).cast("double"), F.lit(0.0)).alias(c) for c in features]
+    return df.select(*filled, col(target).cast("double").alias("_label")).filter("_label is not null")
+
+
+def _predictor(name: str, data: DataFrame, features: Sequence[str], trees: int, depth: int, seed: int) -> Callable[[DataFrame], DataFrame]:
+    """A fitted regressor as a function from a plain table to (label, prediction)."""
+    if name == "lr":
+        plane = fit_linear(data, features, "_label")
+        return lambda t: t.select(F.col("_label").alias("label"), plane.predicted().alias("prediction"))
+    if name != "rf":
+        raise ValueError(f"unknown model {name!r}")
+    forest = RandomForestRegressor(numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=seed)
+    model = forest.fit(sized(assemble(data, features, "_label"), data.count()))
+    return lambda t: model.transform(assemble(t, features, "_label")).select("label", "prediction")
+
+
 def cluster(df: DataFrame, features: Sequence[str], k: int, seed: int = 42) -> DataFrame:
     """The table's features with the k-means ``cluster`` of every row; k-means caches its own input."""
     ready = df.select(*[F.coalesce(col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
