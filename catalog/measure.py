@@ -11,6 +11,7 @@ from tablewright.functions import metrics as M
 from tablewright.operators import impact as I
 from tablewright.operators import tasks as K
 from tablewright.operators.auc import class_auc, rank_sum_auc
+from tablewright.operators.clusters import silhouette
 from tablewright.operators.fixes import apply_fixes
 from tablewright.operators.models import cross_validate
 from tablewright.operators.ranking import stratified_split
@@ -395,3 +396,23 @@ def k03(spark, sf):
 def k03_dbi(spark, sf):
     points = table(spark, sf, "part").withColumn("cluster", F.floor(F.col("p_size") / 20).cast("int"))
     return rounded(M.davies_bouldin(points, ["p_size", "p_retailprice"]), "davies_bouldin")
+
+
+@query(
+    "k03_silhouette",
+    sql.with_ctes(
+        "SELECT count(*) AS points, round(avg(CASE WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) AS silhouette FROM "
+        "(SELECT id, max(d) FILTER (WHERE c = other) AS a, min(d) FILTER (WHERE c <> other) AS b FROM means GROUP BY id)",
+        [],
+        ("points", "SELECT p_partkey AS id, p_size::DOUBLE AS px, p_retailprice AS py, p_size // 20 AS c FROM part"),
+        (
+            "means",
+            "SELECT p.id, p.c, q.c AS other, sum(sqrt((p.px - q.px) ^ 2 + (p.py - q.py) ^ 2)) / (count(*) - (p.c = q.c)::INT) AS d "
+            "FROM points p, points q GROUP BY p.id, p.c, q.c",
+        ),
+    ),
+)
+def k03_silhouette(spark, sf):
+    """All points against all points, in blocks."""
+    points = table(spark, sf, "part").withColumn("cluster", F.floor(F.col("p_size") / 20).cast("int"))
+    return rounded(silhouette(points, ["p_size", "p_retailprice"]), "silhouette")

@@ -6,7 +6,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.columns import col
 from tablewright.functions.lineage import kept
 from tablewright.functions.metrics import classification_metrics, davies_bouldin, regression_metrics
+from tablewright.operators.clusters import silhouette
 from tablewright.operators.linear import fit_linear
 from tablewright.operators.models import assemble, build_model, sized
 
@@ -103,16 +103,18 @@ def cluster(df: DataFrame, features: Sequence[str], k: int, seed: int = 42) -> D
     return KMeans(k=k, seed=seed, predictionCol="cluster").fit(data).transform(data)
 
 
-def clustering_impact(df: DataFrame, fixed: DataFrame, features: Sequence[str], seed: int = 42) -> DataFrame:
-    """Silhouette (squared Euclidean, linear in the rows) and Davies-Bouldin index before and after."""
+def clustering_impact(
+    df: DataFrame, fixed: DataFrame, features: Sequence[str], seed: int = 42, evaluated: int | None = 2000
+) -> DataFrame:
+    """Silhouette (of ``evaluated`` different points against all rows; None: of all) and Davies-Bouldin index before and after."""
     rows = df.count()
     k = min(3, max(2, rows))
     found = []
     for table in (df, fixed):
         points = sized(cluster(table, features, k, seed), rows).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            silhouette = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(points)
-            found.append((silhouette, davies_bouldin(points, features).first()["davies_bouldin"]))
+            shape = silhouette(points, features, evaluated=evaluated).first()["silhouette"]
+            found.append((shape or 0.0, davies_bouldin(points, features).first()["davies_bouldin"]))
         finally:
             points.unpersist()
     (s0, d0), (s1, d1) = found
@@ -131,5 +133,5 @@ def task_impact(
     if task == "regression":
         return regression_impact(train, test, fixed_test, features, target, **options)
     if task == "clustering":
-        return clustering_impact(test, fixed_test, features)
+        return clustering_impact(test, fixed_test, features, **options)
     raise ValueError(f"unknown task {task!r}; known: {', '.join(TASKS)}")
