@@ -15,6 +15,7 @@ from tablewright.operators import encode as E
 from tablewright.operators.fixes import fill_mean
 from tablewright.operators.models import fold_count_column
 from tablewright.operators.profile import missing_counts
+from tablewright.operators.groups import grouped_folds, grouped_split
 from tablewright.operators.ranking import stratified_folds, stratified_split
 
 _CLASS_OF = {
@@ -240,3 +241,30 @@ def m05(spark, sf):
 )
 def g01(spark, sf):
     return stratified_split(dirty_events(spark, sf), "cls", ["event_id"]).select("event_id", "is_test")
+
+
+def _grouped(key: str, k: int) -> list[tuple[str, str]]:
+    """Folds of whole groups of orders: by falling size and the md5 of the key, back and forth over k folds."""
+    return [
+        ("cells", f"SELECT {key} AS g, o_orderstatus AS c, count(*) AS n FROM dirty_orders GROUP BY ALL"),
+        ("sized", "SELECT g, c, sum(n) OVER (PARTITION BY g) AS rows, row_number() OVER (PARTITION BY g ORDER BY n DESC, c) AS r FROM cells"),
+        (
+            "placed",
+            "SELECT g, rows::BIGINT AS rows, row_number() OVER (PARTITION BY c ORDER BY rows DESC, md5('false:{\"v\":' || g || '}|42')) - 1 AS p FROM sized WHERE r = 1",
+        ),
+        ("folds", f"SELECT g, rows, (CASE WHEN p // {k} % 2 = 0 THEN p % {k} ELSE {k - 1} - p % {k} END)::INTEGER AS fold FROM placed"),
+    ]
+
+
+@query("m05_folds_keep_copies", sql.with_ctes("SELECT g AS o_orderkey, fold, rows FROM folds", ["dirty_orders"], *_grouped("o_orderkey", 5)))
+def m05_copies(spark, sf):
+    """Copies of an order are in one fold: one row per order."""
+    folds = grouped_folds(dirty_orders(spark, sf), "o_orderstatus", 5, ["o_orderkey"])
+    return folds.groupBy("o_orderkey", "fold").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("g01_split_by_customer", sql.with_ctes("SELECT g AS o_custkey, fold = 0 AS is_test, rows FROM folds", ["dirty_orders"], *_grouped("o_custkey", 5)))
+def g01_customer(spark, sf):
+    """All orders of a customer are in one part."""
+    parts = grouped_split(dirty_orders(spark, sf), "o_orderstatus", 0.2, ["o_custkey"])
+    return parts.groupBy("o_custkey", "is_test").agg(F.count(F.lit(1)).alias("rows"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FLOATING = (T.FloatType, T.DoubleType)
+BROADCAST_TEXT_BYTES = 32 * 1024 * 1024
 
 
 def numeric_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
@@ -106,6 +107,7 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def broadcast_if(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame:
-    """Broadcast a table only when its counted rows stay below the limit; otherwise leave the join to AQE."""
-    return F.broadcast(df) if rows <= limit else df
+def broadcast_if(df: DataFrame, rows: int, limit: int = 100_000, text_bytes: int = 0) -> DataFrame:
+    """Broadcast a table only when its counted rows and the counted bytes of its texts stay below the limits; otherwise leave the
+    join to AQE."""
+    return F.broadcast(df) if rows <= limit and text_bytes <= BROADCAST_TEXT_BYTES else df

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,20 +53,37 @@ def row_counts(*tables: DataFrame) -> list[int]:
     return [found[i] for i in range(len(tables))]
 
 
+class Size(NamedTuple):
+    """Rows of a code table and bytes of its values."""
+
+    rows: int
+    text_bytes: int
+
+
+def code_sizes(*tables: DataFrame) -> list[Size]:
+    """Sizes of several code tables, from one job."""
+    if not tables:
+        return []
+    text = F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).cast("long")
+    sizes = [t.agg(F.count(F.lit(1)).alias("n"), text.alias("b")).select(F.lit(i).alias("i"), "n", "b") for i, t in enumerate(tables)]
+    found = {r["i"]: Size(r["n"], r["b"]) for r in reduce(DataFrame.union, sizes).collect()}
+    return [found[i] for i in range(len(tables))]
+
+
 def apply_codes(
-    df: DataFrame, column: str, codes: DataFrame, size: int | None = None, fill: str | None = None
+    df: DataFrame, column: str, codes: DataFrame, size: Size | None = None, fill: str | None = None
 ) -> DataFrame:
     """Replace a column by its codes; a value without a code becomes the next free code.
 
-    The code table is broadcast only when its counted size allows; a larger one is joined by shuffle, where AQE
-    splits a dominant value.
+    The code table is broadcast only when its counted rows and bytes allow; a larger one, also one of few but long texts, is joined
+    by shuffle, where AQE splits a dominant value.
     """
-    size = row_counts(codes)[0] if size is None else size
+    size = code_sizes(codes)[0] if size is None else size
     v = col(column).cast("string")
     key = F.coalesce(v, F.lit(fill)) if fill is not None else v
-    small = broadcast_if(codes.select(F.col("value").alias("_value"), F.col("code").alias("_code")), size)
+    small = broadcast_if(codes.select(F.col("value").alias("_value"), F.col("code").alias("_code")), size.rows, text_bytes=size.text_bytes)
     coded = df.withColumn("_key", key).join(small, F.col("_key") == F.col("_value"), "left")
-    value = F.when(F.col("_key").isNotNull(), F.coalesce("_code", F.lit(size)))
+    value = F.when(F.col("_key").isNotNull(), F.coalesce("_code", F.lit(size.rows)))
     return coded.select(*[value.alias(column) if c == column else col(c) for c in df.columns])
 
 
@@ -77,7 +95,7 @@ def encode_target(df: DataFrame, target: str | None = None) -> DataFrame:
     return apply_codes(df, name, code_table(df, column=name))
 
 
-Codes = dict[str, tuple[DataFrame, int]]
+Codes = dict[str, tuple[DataFrame, Size]]
 
 
 @dataclass
@@ -92,7 +110,7 @@ def encode_categoricals(df: DataFrame, columns: Sequence[str], fitted: Codes | N
     """NULL becomes the label MISSING, then every value its sorted code; returns the fitted code tables too."""
     if fitted is None:
         tables = [code_table(df, column=c, fill=MISSING_LABEL) for c in columns]
-        fitted = dict(zip(columns, zip(tables, row_counts(*tables))))
+        fitted = dict(zip(columns, zip(tables, code_sizes(*tables))))
     for c in columns:
         codes, size = fitted[c]
         df = apply_codes(df, c, codes, size, fill=MISSING_LABEL)
@@ -118,7 +136,7 @@ def fill_mode(df: DataFrame, column: str) -> DataFrame:
 def shared_target_codes(left: DataFrame, right: DataFrame, target: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Code the target of two tables by one map over the sorted union of its text values."""
     codes = code_table(left, right, column=target)
-    size = row_counts(codes)[0]
+    size = code_sizes(codes)[0]
     return apply_codes(left, target, codes, size), apply_codes(right, target, codes, size), codes
 
 

@@ -13,7 +13,7 @@ from tablewright.functions.lineage import kept
 from tablewright.functions.metrics import classification_metrics
 from tablewright.functions.together import together
 from tablewright.operators.corrupt import corrupt
-from tablewright.operators.encode import apply_codes, row_counts, code_table, fill_mode, prepare_features, shared_target_codes
+from tablewright.operators.encode import apply_codes, code_sizes, code_table, fill_mode, prepare_features, row_counts, shared_target_codes
 from tablewright.operators.fixes import apply_fixes
 from tablewright.operators.models import assemble, build_model, cross_validate, sized
 from tablewright.operators.profile import score_table
@@ -195,7 +195,7 @@ def prepare_train_test(
     """Means and encoders are fitted on the train part and applied to the test part; an unseen value gets the next free code."""
     left, right = (_with_id(t, target, keys, exclude).filter(col(target).isNotNull()) for t in (train, test))
     codes = code_table(left, column=target)
-    size = row_counts(codes)[0]
+    size = code_sizes(codes)[0]
     left, right = apply_codes(left, target, codes, size), apply_codes(right, target, codes, size)
     left, fitted = prepare_features(left, target, keep=[ID])
     right, _ = prepare_features(right, target, fitted, keep=[ID])

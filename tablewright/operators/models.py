@@ -21,6 +21,7 @@ from tablewright.functions.lineage import kept
 from tablewright.functions.metrics import classification_metrics
 from tablewright.functions.together import together
 from tablewright.operators.auc import class_auc
+from tablewright.operators.groups import grouped_folds
 from tablewright.operators.ranking import stratified_folds
 
 ROWS_PER_PARTITION = 20_000
@@ -101,18 +102,23 @@ def cross_validate(
     seed: int = 42,
     folds: int | None = None,
     at_once: int = 4,
+    together_by: Sequence[str] | None = None,
     **size,
 ) -> DataFrame:
     """Mean accuracy, weighted F1 and ROC-AUC over stratified folds, one row per model.
 
     Up to ``at_once`` folds are fitted side by side; the predictions of all folds and models are kept and measured together, classes
     and folds in one job each for the rates and for the areas.  A fold that cannot be fitted scores 0 and is
-    counted in ``failed_folds``; ``error`` is its message.
+    counted in ``failed_folds``; ``error`` is its message. ``together_by`` names columns whose rows of equal values stay in one
+    fold, such as the keys of copied rows; without it rows are dealt one by one.
     """
     counts = {r["label"]: r["count"] for r in data.groupBy("label").count().collect()}
     rows, classes = sum(counts.values()), sorted(c for c in counts if c is not None)
     k = fold_count(rows) if folds is None else folds
-    folded = stratified_folds(data, "label", k, keys, seed, max(counts.values(), default=0))
+    if together_by is None:
+        folded = stratified_folds(data, "label", k, keys, seed, max(counts.values(), default=0))
+    else:
+        folded = grouped_folds(data, "label", k, together_by, seed)
     folded = sized(folded, rows).persist(StorageLevel.MEMORY_AND_DISK)
     spark, runs = data.sparkSession, [(name, i) for name in models for i in range(k)]
 

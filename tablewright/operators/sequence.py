@@ -33,8 +33,17 @@ POINT_BYTES = 4 * PLACED_CHARACTERS
 
 
 def block_count(df: DataFrame) -> int:
-    """One block per 64 MB of estimated plan size."""
-    return max(1, plan_bytes(df) // BYTES_PER_BLOCK)
+    """One block per 64 MB.
+
+    The optimizer's estimate settles small plans. It multiplies the sides of a join, so whatever it takes for large is measured:
+    rows and bytes of texts in one job, 16 bytes for any other cell.
+    """
+    if plan_bytes(df) <= BYTES_PER_BLOCK:
+        return 1
+    texts = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    sizes = [F.coalesce(F.sum(F.octet_length(col(c))), F.lit(0)).alias(f"b{i}") for i, c in enumerate(texts)]
+    rows, *text_bytes = df.agg(F.count(F.lit(1)).alias("n"), *sizes).first()
+    return max(1, (rows * 16 * len(df.columns) + sum(text_bytes)) // BYTES_PER_BLOCK)
 
 
 def _placed_by(df: DataFrame, order: str) -> Column:

@@ -86,3 +86,11 @@ def test_tasks(table):
     assert K.task_impact("regression", data, data, noisy, ["y"], "x", trees=3, depth=3).count() == 6
     with pytest.raises(ValueError):
         K.task_impact("ranking", data, data, noisy, ["x"], "y")
+
+
+def test_copies_stay_in_one_fold(table):
+    from tablewright.operators.models import cross_validate
+
+    data = I.prepare_table(table, "y", ["id"], ["id"])
+    found = cross_validate(data, ["lr"], folds=2, together_by=["_key0"], **SIZE).first()
+    assert found["failed_folds"] == 0 and found["error"] is None and found["roc_auc"] > 0.5

@@ -97,3 +97,11 @@ def test_ordered_operators_on_nothing(spark, blocks):
     assert S.fill_in_order(empty, "o", (), blocks).count() == 0
     assert S.time_gaps(empty, "o", 1.0, (), blocks).count() == 0
     assert S.ordinal_codes(empty, "v", blocks).count() == 0
+
+
+def test_blocks_follow_measured_size_where_the_estimate_is_large(spark):
+    small = spark.range(1000).selectExpr("id", "string(id) AS s").hint("merge")
+    product = small.join(small.selectExpr("id", "s AS t"), "id").join(small.selectExpr("id", "s AS u"), "id")
+    assert S.plan_bytes(product) > S.BYTES_PER_BLOCK and S.block_count(product) == 1
+    large = spark.range(3000).selectExpr("id", "repeat('x', 100000) AS s").join(product.select("id"), "id", "left")
+    assert 4 <= S.block_count(large) <= 6
