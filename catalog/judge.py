@@ -128,6 +128,30 @@ def r05(spark, sf):
     return rounded(judged(spark, sf).filter("outlier_warning").select("profile_id", "domain", "outliers"), "outliers")
 
 
+# Prices with a long tail: many customers have more than a tenth of their numbers beyond the fences.
+_STEEP = "power(o_totalprice / 1000, 6)"
+
+
+@query(
+    "r05_outlier_warning_long_tail",
+    sql.with_ctes(
+        "SELECT profile_id, domain, round(outliers, 6) AS outliers FROM judged WHERE outlier_warning",
+        ["dirty_orders"],
+        ("steep", f"SELECT * REPLACE ({_STEEP} AS o_totalprice) FROM dirty_orders"),
+        *sql.segments("ps", "steep", "dirty_orders", "o_custkey", "o_orderpriority"),
+        ("profiles", "SELECT concat('orders-', seg) AS profile_id, * EXCLUDE (seg) FROM ps"),
+        _RULES,
+        _JUDGED,
+    ),
+)
+def r05_long_tail(spark, sf):
+    steep = dirty_orders(spark, sf).withColumn("o_totalprice", F.expr(_STEEP))
+    found = segment_profiles(steep, "o_custkey", "o_orderpriority")
+    named = found.select(F.concat(F.lit("orders-"), "o_custkey").alias("profile_id"), *FLAT_COLUMNS)
+    warned = judge(for_domains(named, DOMAINS), built_in_rules(spark)).filter("outlier_warning")
+    return rounded(warned.select("profile_id", "domain", "outliers"), "outliers")
+
+
 @query("r06_imbalance_violation", judged_sql("round(imbalance_ratio, 6) AS imbalance_ratio", "imbalance_violation"))
 def r06(spark, sf):
     return rounded(judged(spark, sf).filter("imbalance_violation").select("profile_id", "domain", "imbalance_ratio"), "imbalance_ratio")
