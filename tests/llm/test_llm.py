@@ -9,7 +9,10 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from sentencepiece import SentencePieceProcessor
 
 import __spark_entry__ as contract
 import corpus_pipeline
@@ -311,7 +314,7 @@ def best_total(vocabulary, word):
 
 
 def test_pieces_are_optimal_and_share_prefixes():
-    vocabulary = pieces.Vocabulary(PIECE_MODEL)
+    vocabulary = pieces.Vocabulary(PIECE_MODEL, "unigram")
     words = sorted([" the", " there", " thereof", " tok", " tokens", "ünï", " ", "\n", " 漢字か", " ▁x", "aaaaaaaaaaaaaaaaaaaaaaa"])
     byte = set(vocabulary.byte_ids)
     score_of = {i: s for s, i in vocabulary.pieces.values()}
@@ -323,6 +326,44 @@ def test_pieces_are_optimal_and_share_prefixes():
         assert total == pytest.approx(best_total(vocabulary, word))
 
 
+def test_pieces_equal_the_library(spark, monkeypatch):
+    model = SentencePieceProcessor(model_file=PIECE_MODEL)
+    monkeypatch.setattr(pieces, "PAIRS", 500)  # forgotten pairs are tried again
+    monkeypatch.setattr(pieces, "MEMORY", 10_000)
+    texts = [r["text"] for r in table(spark, "/root/testdata/sf0.001", "documents").select("text").collect()]
+    texts += [
+        "", " ", "   ", "a  b", "  a ", " " * 40 + "ﬁ" + " " * 17 + "x", "a" * 1000, "ab" * 5000, "é́ ﬁ ²\t\r\n x \n\n", "<0x0A><s> <unk>", "　x y", "nul\0l",
+        "漢字かな交じり文 벨 執", "\n a\n", None, "a  b",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in pieces.encode_texts(df, PIECE_MODEL).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        ids = got[i]["ids"] and np.frombuffer(got[i]["ids"], "<u4").tolist()
+        assert ids == (None if text is None else model.encode(text)) or (text == "" and not ids), text
+        assert got[i]["round_trip"]
+
+
+@given(st.text(st.sampled_from("aehinrst  \nüß漢#1"), max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_pieces_of_any_text_equal_the_library(text):
+    vocabulary = pieces.vocabulary_of(PIECE_MODEL, "merges")
+    model = SentencePieceProcessor(model_file=PIECE_MODEL)
+    words = pieces.marked_words(text)
+    ids = dict(zip(sorted(set(words)), pieces.encode_words(vocabulary, sorted(set(words)))))
+    found = [i for w in words for i in ids[w]]
+    assert found == model.encode(text)
+    assert pieces.decode(vocabulary, found) == text
+
+
+def test_pieces_keep_the_mark_itself(spark):
+    df = spark.createDataFrame([(1, "a ▁b▁")], "doc_id long, text string")
+    encoded = pieces.encode_texts(df, PIECE_MODEL)
+    assert [r["text"] for r in pieces.decode_texts(encoded, PIECE_MODEL).collect()] == ["a ▁b▁"]
+    with pytest.raises(ValueError):
+        pieces.Vocabulary(PIECE_MODEL, "words")
+
+
 def test_pieces_round_trip(odd, nothing):
     encoded = pieces.encode_texts(odd, PIECE_MODEL)
     assert encoded.where("round_trip").count() == odd.count()
