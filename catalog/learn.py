@@ -8,6 +8,7 @@ from catalog import sql
 from catalog.judge import PROFILE_CTES, profiles
 from catalog.registry import query, rounded
 from catalog.views import dirty_orders
+from tablewright.operators import effect_states as ES
 from tablewright.operators import gain as G
 from tablewright.operators import history as H
 from tablewright.operators import outcomes as O
@@ -131,19 +132,48 @@ def a04(spark, sf):
     return rounded(H.best_fixes(history(spark, sf), domain="finance"), "effectiveness")
 
 
-@query(
-    "a05_recommend_fixes",
-    _history_sql(
-        "SELECT data_type, fix_name, round(effectiveness, 6) AS effectiveness, rank, column_count, round(avg(effectiveness) OVER () / 100.0::DOUBLE, 6) AS expected_gain "
-        "FROM best JOIN (VALUES ('numeric', 3), ('categorical', 2)) k(data_type, column_count) USING (data_type) WHERE rank <= 3",
-        _best("finance"),
-    ),
+_RECOMMENDED = _history_sql(
+    "SELECT data_type, fix_name, round(effectiveness, 6) AS effectiveness, rank, column_count, round(avg(effectiveness) OVER () / 100.0::DOUBLE, 6) AS expected_gain "
+    "FROM best JOIN (VALUES ('numeric', 3), ('categorical', 2)) k(data_type, column_count) USING (data_type) WHERE rank <= 3",
+    _best("finance"),
 )
+
+
+@query("a05_recommend_fixes", _RECOMMENDED)
 def a05(spark, sf):
     found = H.recommend_fixes(dirty_orders(spark, sf), history(spark, sf), "finance")
     return rounded(found, "effectiveness", "expected_gain")
 
 
+def stored_states(spark, sf):
+    """The same history as recorded batches of states; the second run of a batch replaces the first."""
+    path = S.shared_folder(spark, "effect-states")
+    S.append_table(ES.effect_states(H.default_history(spark)), path, "defaults")
+    odd = F.col("dataset_size") % 2 == 1
+    for batch, some in (("odd", odd), ("even", ~odd), ("odd", odd)):
+        S.append_table(ES.effect_states(effects(spark, sf).filter(some)), path, batch)
+    return S.read_batches(spark, path, ES.STATE_SCHEMA)
+
+
+@query("a03_analyze_stored_states", _history_sql(f"SELECT {_ANALYSIS_COLUMNS} FROM analysis", _ANALYSIS))
+def a03_states(spark, sf):
+    return rounded(ES.analyze_states(stored_states(spark, sf)), *_MEANS)
+
+
+@query(
+    "a04_best_fixes_stored_states",
+    _history_sql("SELECT data_type, fix_name, round(effectiveness, 6) AS effectiveness, rank FROM best", _best("finance")),
+)
+def a04_states(spark, sf):
+    return rounded(ES.best_fixes_of_states(stored_states(spark, sf), domain="finance"), "effectiveness")
+
+
+@query("a05_recommend_stored_states", _RECOMMENDED)
+def a05_states(spark, sf):
+    best = ES.best_fixes_of_states(stored_states(spark, sf), domain="finance")
+    return rounded(H.recommend_ranked(dirty_orders(spark, sf), best), "effectiveness", "expected_gain")
+
+
 @query(
     "a06_default_history",
     _history_sql(

@@ -80,18 +80,27 @@ def best_fixes(history: DataFrame, data_types: Sequence[str] | None = None, doma
     chosen = history if data_types is None else history.filter(F.col("data_type").isin(list(data_types)))
     overall = F.avg(effectiveness())
     mean = overall if domain is None else F.coalesce(F.avg(F.when(F.col("domain") == domain, effectiveness())), overall)
-    helpful = chosen.groupBy("data_type", "fix_name").agg(mean.alias("effectiveness")).filter("effectiveness > 0")
+    return ranked(chosen.groupBy("data_type", "fix_name").agg(mean.alias("effectiveness")))
+
+
+def ranked(means: DataFrame) -> DataFrame:
+    """Helpful fixes (data_type, fix_name, effectiveness) with their rank within the data type."""
     # One row per fix and data type is left, so ranking within a data type is cheap.
     order = Window.partitionBy("data_type").orderBy(F.desc("effectiveness"), "fix_name")
-    return helpful.withColumn("rank", F.row_number().over(order))
+    return means.filter("effectiveness > 0").withColumn("rank", F.row_number().over(order))
 
 
 def recommend_fixes(df: DataFrame, history: DataFrame, domain: str | None = None, top: int = 3) -> DataFrame:
     """The best fixes for the numeric and categorical columns the table has, with column counts and expected gain."""
+    return recommend_ranked(df, best_fixes(history, domain=domain), top)
+
+
+def recommend_ranked(df: DataFrame, best: DataFrame, top: int = 3) -> DataFrame:
+    """``recommend_fixes`` from ranked fixes, however they were found."""
     present = {"numeric": len(numeric_columns(df)), "categorical": len(string_columns(df))}
     present = {k: n for k, n in present.items() if n}
     counts = F.create_map(*[F.lit(v) for kv in (present or {"": 0}).items() for v in kv])
-    rows = best_fixes(history, list(present), domain).filter(F.col("rank") <= top)
+    rows = best.filter(F.col("data_type").isin(list(present))).filter(F.col("rank") <= top)
     # At most ``top`` rows per class are left.
     everywhere = Window.partitionBy(F.lit(0))
     return rows.select(

@@ -5,6 +5,7 @@ Sinks are Spark writers: distributed, restartable, no driver-side files.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -85,16 +86,31 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def register_datasets(datasets: DataFrame, path: str) -> None:
-    """Append registrations with the time they were made."""
-    datasets.withColumn("registered_at", F.current_timestamp()).write.mode("append").parquet(path)
+def register_datasets(datasets: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append registrations with the time they were made; ``batch`` as for ``append_table``."""
+    append_table(datasets.withColumn("registered_at", F.current_timestamp()), path, batch)
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """The registry with one record per dataset: the last one."""
-    return latest_registrations(spark.read.parquet(path))
+    return latest_registrations(spark.read.parquet(path).drop("batch"))
 
 
-def append_table(rows: DataFrame, path: str) -> None:
-    """Append rows (validation results, fix effects) to a Parquet table."""
-    rows.write.mode("append").parquet(path)
+def append_table(rows: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append rows (validation results, fix effects or their states) to a Parquet table.
+
+    With a ``batch`` name the rows are that batch's, and writing it again replaces them, so a run that is tried again adds nothing twice.
+    A table is written either always or never by batches; reading it then shows the name as a column ``batch``.
+    """
+    if batch is None:
+        rows.write.mode("append").parquet(path)
+        return
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch):
+        raise ValueError(f"a batch name holds letters, digits, '_', '.' and '-' only: {batch!r}")
+    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+
+
+def read_batches(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """All batches of a table as one, without the batch names."""
+    wanted = spark.createDataFrame([], schema).schema
+    return spark.read.schema(wanted).parquet(path).select(*[col(n) for n in wanted.names])
