@@ -10,7 +10,7 @@ is compared with two hubs, the nodes that are most often the smallest and the la
 bands with it. The confirmed links give components.
 Where a bucket still holds several, its nodes are compared with the bucket's smallest and largest node. The nodes of
 buckets that are still in different components after that are compared where they share one of the rare shingles that
-a link cannot do without. So a group of thousands of copies costs two comparisons per copy, a passage that unlike texts
+a link cannot do without: first with a few hubs of those shingles, and then, where components still differ, all of them. So a group of thousands of copies costs two comparisons per copy, a passage that unlike texts
 share costs few, and no link between nodes of one bucket is left out. Components come from repeated hooking of larger
 nodes to smaller ones in distributed tables.
 
@@ -43,6 +43,8 @@ UNIVERSE = 1 << 20
 GATHER = 1 << 12
 #: Most frequent shingles of a comparison that are ordered by frequency (8 bytes each); all others go before them.
 FREQUENT = 1 << 17
+#: Nodes that each node is compared with before all that share a rare shingle are.
+HUBS = 4
 #: Similarity of a link as a fraction.
 NUMERATOR, DENOMINATOR = 75, 100
 
@@ -212,26 +214,52 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     # What the stars left: nodes of buckets that hold different components, by the rare shingles that a link must share.
     open_buckets = member.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("bucket")
     open_nodes = stored(member.join(open_buckets, "bucket", "left_semi").select("node", "n", "root").distinct(), "open")
-    rest = stored(sharing_rare(open_nodes, texts).join(tried, ["a", "b"], "left_anti"), "rest")
+    first = stored(rare_shingles(open_nodes, texts), "first")
+    star = stored(sized(rare_hubs(first, open_nodes)).join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not star.isEmpty():
+        tried, links = tried.union(star), links.union(confirmed(star, texts))
+        roots = components(links)
+        open_nodes = open_nodes.select("node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_nodes = stored(open_nodes, "open")
+    rest = stored(sharing_rare(first, open_nodes).join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         roots = components(links.union(confirmed(rest, texts)))
     return assigned(signed, nodes, roots)
 
 
-def sharing_rare(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes (node, n, root) of different components that have a shingle in common among their first.
+def rare_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The first shingles of each node's set that a link can need: (node, key, place from 1).
 
     With all shingles in one order, two sets of na and nb that share at least k = 3/7 (na + nb) shingles, as links do,
     share one of the first na - k + 1 of one and the first nb - k + 1 of the other. The order is rare before frequent,
     so what a group of texts has in common proposes no pair unless it is most of them. Any order loses no link:
     shingles beyond the FREQUENT most frequent go by hash.
     """
-    spark = nodes.sparkSession
     sets = stored(texts.join(nodes.select("node"), "node", "left_semi").mapInPandas(long_sets, "node binary, keys array<long>"), "sets")
     often = sets.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("nodes")).where(F.col("nodes") > 2)
     often = often.orderBy(F.desc("nodes"), "key").limit(FREQUENT).select("key").toPandas()
-    rank = spark.sparkContext.broadcast(often["key"].to_numpy(np.int64)[::-1].copy())
-    first = sets.mapInPandas(rare_first(rank), "node binary, key long, place long").join(nodes, "node")
+    rank = nodes.sparkSession.sparkContext.broadcast(often["key"].to_numpy(np.int64)[::-1].copy())
+    return sets.mapInPandas(rare_first(rank), "node binary, key long, place long")
+
+
+def rare_hubs(first: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, b): for each node (node, n, root) HUBS others of other components, each the commonest among the hubs of its rare shingles.
+
+    A shingle's hubs are the nodes with the smallest of HUBS hashes. In a group of alike texts that no bucket has joined
+    yet, these few pairs a node join most of it, and far fewer are left for the comparison of all that share a rare shingle.
+    """
+    placed = first.select("key", "node").join(nodes.select("node", "root"), "node")
+    names = [f"hub{i}" for i in range(HUBS)]
+    hubs = [F.min_by("node", F.xxhash64("node", F.lit(i))).alias(name) for i, name in enumerate(names)]
+    by_key = placed.groupBy("key").agg(*hubs, (F.min("root") != F.max("root")).alias("open")).where("open")
+    chosen = placed.join(by_key, "key").groupBy("node", "root").agg(*[F.mode(name, True).alias(name) for name in names])
+    star = chosen.select("node", "root", F.explode(F.array(*names)).alias("b")).distinct()
+    return star.join(nodes.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").where("root <> r").select("node", "b")
+
+
+def sharing_rare(first: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (node, n, root) of different components that have one of their rare shingles in common."""
+    first = first.join(nodes, "node")
     groups = first.groupBy("key", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("place").alias("place"))
     groups = stored(groups, "groups")
     split = groups.groupBy("key").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("key")
