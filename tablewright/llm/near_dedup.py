@@ -43,6 +43,8 @@ UNIVERSE = 1 << 20
 GATHER = 1 << 12
 #: Most frequent shingles of a comparison that are ordered by frequency (8 bytes each); all others go before them.
 FREQUENT = 1 << 17
+#: Numbers of 64 bits in the sketch of a set, a power of two.
+SKETCH = 4
 #: Similarity of a link as a fraction.
 NUMERATOR, DENOMINATOR = 75, 100
 
@@ -225,55 +227,84 @@ def sharing_rare(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     share one of the first na - k + 1 of one and the first nb - k + 1 of the other. The order is rare before frequent,
     so what a group of texts has in common proposes no pair unless it is most of them. Any order loses no link:
     shingles beyond the FREQUENT most frequent go by hash.
+
+    Sets of a link differ in at most 1/7 (na + nb) shingles. Each set has a sketch of SKETCH * 64 parities, and two sketches
+    differ in no more places than their sets do: what differs in more is no link. Of two components with a shingle in common,
+    the nodes of the one with fewer such nodes are put beside the other, so a large group of copies costs a row for each other node.
     """
     spark = nodes.sparkSession
-    sets = stored(texts.join(nodes.select("node"), "node", "left_semi").mapInPandas(long_sets, "node binary, keys array<long>"), "sets")
+    sets = stored(texts.join(nodes, "node").mapInPandas(long_sets, "node binary, n long, root binary, keys array<long>"), "sets")
     often = sets.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("nodes")).where(F.col("nodes") > 2)
     often = often.orderBy(F.desc("nodes"), "key").limit(FREQUENT).select("key").toPandas()
     rank = spark.sparkContext.broadcast(often["key"].to_numpy(np.int64)[::-1].copy())
-    first = sets.mapInPandas(rare_first(rank), "node binary, key long, place long").join(nodes, "node")
-    groups = first.groupBy("key", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("place").alias("place"))
-    groups = stored(groups, "groups")
-    split = groups.groupBy("key").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("key")
-    groups = stored(groups.join(split, "key", "left_semi"), "groups")
+    marks = [f"m{i}" for i in range(SKETCH)]
+    kind = "node binary, n long, root binary, key long, place long, " + ", ".join(f"{m} long" for m in marks)
+    first = stored(sets.mapInPandas(rare_first(rank), kind), "first")
+    split = first.groupBy("key").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("key")
     first = stored(first.join(split, "key", "left_semi"), "first")
+    alone = [F.min(m).alias(m) for m in marks]  # used of groups of one node
+    groups = first.groupBy("key", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("place").alias("place"), F.count(F.lit(1)).alias("size"), *alone)
+    groups = stored(groups, "groups")
 
     def reaches(place: str, most: str, other: str):
         """The place is among the first of a set of this size that a link to a set of the other size needs."""
         return F.col(place) <= F.col(most) - F.ceil((F.col(most) + F.col(other)) * NUMERATOR / (NUMERATOR + DENOMINATOR) - 1e-9) + 1
 
-    left = groups.select("key", F.col("root").alias("ra"), F.col("least").alias("la"), F.col("most").alias("ma"), F.col("place").alias("pa"))
-    right = groups.select("key", F.col("root").alias("rb"), F.col("least").alias("lb"), F.col("most").alias("mb"), F.col("place").alias("pb"))
-    sizes = (F.col("ma") * DENOMINATOR >= F.col("lb") * NUMERATOR) & (F.col("mb") * DENOMINATOR >= F.col("la") * NUMERATOR)
-    across = left.join(right, "key").where("ra < rb").where(sizes & reaches("pa", "ma", "lb") & reaches("pb", "mb", "la"))
-    a = first.select("key", F.col("root").alias("ra"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"))
-    b = first.select("key", F.col("root").alias("rb"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"))
-    pairs = across.select("key", "ra", "rb").join(a, ["key", "ra"]).join(b, ["key", "rb"])
-    pairs = pairs.where(close_sizes("nx", "ny") & reaches("px", "nx", "ny") & reaches("py", "ny", "nx"))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    def alike(na: str, nb: str):
+        """The sketches x and y differ in no more places than linked sets of these sizes may."""
+        differ = sum(F.bit_count(F.col(f"{m}_x").bitwiseXOR(F.col(f"{m}_y"))) for m in marks)
+        return differ * (DENOMINATOR + NUMERATOR) <= (F.col(na) + F.col(nb)) * (DENOMINATOR - NUMERATOR)
+
+    def named(df: DataFrame, end: str) -> DataFrame:
+        return df.select("key", *[F.col(c).alias(f"{c}_{end}") for c in df.columns if c != "key"])
+
+    sizes = (F.col("most_x") * DENOMINATOR >= F.col("least_y") * NUMERATOR) & (F.col("most_y") * DENOMINATOR >= F.col("least_x") * NUMERATOR)
+    fewer = (F.col("size_x") < F.col("size_y")) | (F.col("size_x") == F.col("size_y")) & (F.col("root_x") < F.col("root_y"))
+    across = named(groups, "x").join(named(groups, "y"), "key").where((F.col("root_x") != F.col("root_y")) & fewer & sizes)
+    across = across.where(reaches("place_x", "most_x", "least_y") & reaches("place_y", "most_y", "least_x"))
+    across = across.where((F.col("size_y") > 1) | alike("most_x", "most_y")).select("key", "root_x", "root_y", "least_y", "most_y", F.col("place_y").alias("first_y"))
+    one, other = named(first, "x"), named(first, "y")
+    few = across.join(one, ["key", "root_x"]).where(
+        (F.col("n_x") * DENOMINATOR >= F.col("least_y") * NUMERATOR) & (F.col("most_y") * DENOMINATOR >= F.col("n_x") * NUMERATOR)
+        & reaches("place_x", "n_x", "least_y") & reaches("first_y", "most_y", "n_x")
+    )
+    pairs = few.join(other, ["key", "root_y"]).where(
+        close_sizes("n_x", "n_y") & reaches("place_x", "n_x", "n_y") & reaches("place_y", "n_y", "n_x") & alike("n_x", "n_y")
+    )
+    return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
 def long_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"node": batch["node"], "keys": [shingles(ascii_words(t)).view(np.int64) for t in batch["text"]]})
+        keys = [shingles(ascii_words(t)).view(np.int64) for t in batch["text"]]
+        yield pd.DataFrame({"node": batch["node"], "n": batch["n"], "root": batch["root"], "keys": keys})
+
+
+def sketch(keys: np.ndarray) -> list[int]:
+    """SKETCH numbers whose bits say whether an odd number of the keys falls on each place."""
+    place = mixed(keys.view(np.uint64) + multiplier(11)) & np.uint64(64 * SKETCH - 1)
+    odd = np.bincount(place.astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
 def rare_first(rank):
-    """The shingles of each set, rare ones first, as far as any link can need: (node, key, place from 1)."""
+    """The shingles of each set, rare ones first, as far as any link can need: (node, n, root, key, place from 1, its set's sketch)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frequent = rank.value
         by_key = np.argsort(frequent, kind="stable")
         ordered = frequent[by_key]
         for batch in batches:
-            for node, keys in zip(batch["node"], batch["keys"]):
+            for node, n, root, keys in zip(batch["node"], batch["n"], batch["root"], batch["keys"]):
                 keys = np.asarray(keys, np.int64)
                 at = np.searchsorted(ordered, keys)
                 at[at == len(ordered)] = 0
                 found = ordered[at] == keys if len(ordered) else np.zeros(len(keys), bool)
                 order = np.lexsort((keys, np.where(found, by_key[at] if len(ordered) else 0, -1)))
                 needed = len(keys) - -(-len(keys) * NUMERATOR // DENOMINATOR) + 1
-                yield pd.DataFrame({"node": [node] * needed, "key": keys[order[:needed]], "place": np.arange(1, needed + 1)})
+                marks = {f"m{i}": m for i, m in enumerate(sketch(keys))}
+                own = {"node": [node] * needed, "n": n, "root": [root] * needed}
+                yield pd.DataFrame({**own, "key": keys[order[:needed]], "place": np.arange(1, needed + 1), **marks})
 
     return run
 
