@@ -39,9 +39,13 @@ SHARD_WORDS = 3_000_000
 #: what they do not report bounds totals closely.
 LOCAL_SUPPORT = 3
 #: Phrases a task adds up before it hands them on.
-HELD = 400_000
+HELD = 1_000_000
+#: Tasks for each core in the pass that counts.
+WAVES = 2
 #: Languages whose word totals are sent to the tasks.
 LANGUAGES = 10_000
+#: Phrases handed on at once.
+GIVEN = 100_000
 #: Bits of the filter over phrases that may be frequent, at most.
 FILTER_BITS = 1 << 26
 
@@ -182,24 +186,27 @@ def counter(marks: Broadcast, size: int) -> Callable:
             out &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
         return out
 
-    def given(held: dict[tuple[str, bytes, int], int]) -> pa.RecordBatch:
-        langs, phrases, words = zip(*held) if held else ((), (), ())
-        batch = of(COUNTED, langs, [p.decode() for p in phrases], words, list(held.values()))
-        held.clear()
-        return batch
+    def given(held: dict[str, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+        for lang in list(held):
+            found = held.pop(lang)
+            phrases = list(found)
+            for i in range(0, len(phrases), GIVEN):
+                part = phrases[i : i + GIVEN]
+                yield of(COUNTED, [lang] * len(part), [p.decode() for p in part], [p.count(b" ") + 1 for p in part], [found[p] for p in part])
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, bytes, int], int] = defaultdict(int)
+        held: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
         for shard in shards(batches, size):
             for lang, words, codes in shard.languages():
                 hashes = word_hashes(words)
                 through = lambda k, first, counts: passes(mixed(hashes, first, codes, k, lang))  # noqa: B023, E731
+                own = held[lang]
                 for k, first, counts in levels(codes, through):
                     for p, n in zip(first.tolist(), counts.tolist()):
-                        held[lang, b" ".join([words[c] for c in codes[p : p + k].tolist()]), k] += n
-                if len(held) >= HELD:
-                    yield given(held)
-        yield given(held)
+                        own[b" ".join([words[c] for c in codes[p : p + k].tolist()])] += n
+                if sum(map(len, held.values())) >= HELD:
+                    yield from given(held)
+        yield from given(held)
 
     return tally
 
@@ -236,7 +243,9 @@ def phrase_counts(docs: DataFrame, least: int = 100, shard_words: int | None = N
     bound = F.col("n") + F.coalesce("everywhere", F.lit(0))
     possible = stored(reports.join(F.broadcast(unseen), "lang", "left").where(bound >= least).select("hash"), "phrase-possible")
     marks = spark.sparkContext.broadcast(marked(possible))
-    tallied = texts.mapInArrow(counter(marks, size), "lang string, phrase string, words int, n long")
+    # A task adds up the shards that it reads one after the other, so that a phrase gives a row for each task, not for each shard.
+    few = texts.coalesce(WAVES * spark.sparkContext.defaultParallelism)
+    tallied = few.mapInArrow(counter(marks, size), "lang string, phrase string, words int, n long")
     counts = tallied.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return stored(counts, "phrase-counts"), totals
 

@@ -84,3 +84,25 @@ def test_products_beyond_64_bits(spark):
 def test_nothing(spark):
     assert phrases.collocations(spark.createDataFrame([], "lang string, text string")).count() == 0
     assert phrases.collocations(spark.createDataFrame([("en", None), (None, "")], "lang string, text string")).count() == 0
+
+
+def test_a_phrase_gives_a_row_for_each_task_that_counts(spark, monkeypatch):
+    given, plain = spark.sparkContext.accumulator(0), phrases.counter
+
+    def watched(marks, size):
+        run = plain(marks, size)
+
+        def tally(batches):
+            for batch in run(batches):
+                given.add(batch.num_rows)
+                yield batch
+
+        return tally
+
+    monkeypatch.setattr(phrases, "counter", watched)
+    docs = spark.createDataFrame([("en", "the cat sat here")] * 200, "lang string, text string").repartition(100)
+    counts, _ = phrases.phrase_counts(docs, least=100, shard_words=8)
+    assert sorted((r["phrase"], r["words"], r["n"]) for r in counts.collect() if r["words"] > 2) == [
+        ("cat sat here", 3, 200), ("the cat sat", 3, 200), ("the cat sat here", 4, 200)
+    ]
+    assert counts.count() == 10 and 10 <= given.value <= 10 * phrases.WAVES * spark.sparkContext.defaultParallelism
