@@ -12,6 +12,7 @@ with the exact duplicates, and empty tables pass through.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,13 +41,26 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return drop_copies(docs)
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """The table with a number for each row, ``__at``: its place in the files it is read from, or else in a copy."""
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index")
+    try:
+        placed = docs.withColumn("__at", place)
+        rows, places = placed.agg(F.count(F.lit(1)), F.count_distinct("__at")).first()
+    except AnalysisException:  # not read from files
+        rows, places = 1, 0
+    if rows == places:
+        return placed
+    path = fresh_path(docs.sparkSession, "near-dedup-contents")
+    docs.write.parquet(path)
+    return docs.sparkSession.read.schema(docs.schema).parquet(path).withColumn("__at", place)
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates; rows are told apart by their place in the written table, not by id."""
     from tablewright.llm.near_dedup import near_duplicates
 
-    path = fresh_path(spark, "near-dedup-contents")
-    docs.write.parquet(path)
-    contents = spark.read.schema(docs.schema).parquet(path).withColumn("__at", F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+    contents = told_apart(docs)
     found = near_duplicates(contents, doc_id="__at").select(F.col("doc_id").alias("__at"), "component_id")
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__at")).alias("first")
     stay = contents.select("__at", "doc_id").join(found, "__at").groupBy("component_id").agg(smallest).select("first.__at")
