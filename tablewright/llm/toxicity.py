@@ -1,7 +1,8 @@
 """Toxicity: a convolutional text classifier in numpy with thresholds calibrated by language.
 
-Lower-cased words are hashed to embeddings; filters of one, two and three words slide over the whole text, each filter
-keeps its largest response, and a linear layer gives the logit. The first embedding dimension starts as the smoothed
+Lower-cased words are hashed to embeddings, each the sum of that of the word and that of its first ``STEM`` letters, which
+inflected forms share; filters of one, two and three words slide over the whole text, each filter keeps its largest
+response, and a linear layer gives the logit. The first embedding dimension starts as the smoothed
 log odds of a bucket between the classes, so that rare tell-tale words are seen from the start; everything is then
 trained by stochastic gradient descent (Adam). Weights are fitted on a bounded sample chosen by hash: four fifths of
 about ``MOST_TOXIC`` and ``MOST_CLEAN`` labelled texts of at most ``LONGEST`` words. All other labelled texts of the
@@ -31,7 +32,12 @@ from tablewright.llm.common import own_names, prepare, stored
 
 MOST_TOXIC, MOST_CLEAN = 1500, 3000
 LONGEST = 4000
-BUCKETS = 1 << 16
+BITS = 16
+BUCKETS = 1 << BITS
+#: Letters that stand for a word and its inflected forms.
+STEM = 4
+#: Words whose buckets a task remembers.
+MEMORY = 200_000
 DIMENSIONS = 8
 FILTERS = 6
 WIDTHS = (1, 2, 3)
@@ -49,17 +55,35 @@ CHUNK = 200_000
 PAD = max(WIDTHS) - 1
 
 
+class Buckets(dict):
+    """The bucket of each word and, BITS higher, of its stem: the letters inside count, marks around it do not."""
+
+    def __missing__(self, word: str) -> int:
+        w = word if word.isalnum() else word.strip("!?.,;:\"'()[]{}*#$%&|<>-_")
+        whole, stem = zlib.crc32(w.encode()), zlib.crc32(b"stem " + w[:STEM].encode())
+        code = whole % (BUCKETS - 1) + 1 | (stem % (BUCKETS - 1) + 1) << BITS
+        if len(self) < MEMORY:
+            self[word] = code
+        return code
+
+
+remembered = Buckets()
+
+
 def buckets(text: str | None) -> np.ndarray:
-    """Bucket of each word: the letters inside count, marks around it do not. Bucket 0 is the padding."""
+    """Buckets of the words and their stems. Bucket 0 is the padding."""
     words = [] if text is None else text.lower().split()
-    words = [w if w.isalnum() else w.strip("!?.,;:\"'()[]{}*#$%&|<>-_") for w in words]
-    codes = np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words))
-    return (codes % (BUCKETS - 1) + 1).astype(np.int32)
+    return np.fromiter(map(remembered.__getitem__, words), np.uint32, len(words))
+
+
+def parts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words and of stems."""
+    return ids & (BUCKETS - 1), ids >> BITS
 
 
 def laid_out(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Texts one after the other, each followed by padding, and where they begin."""
-    gap = np.zeros(PAD, np.int32)
+    gap = np.zeros(PAD, np.uint32)
     lengths = np.array([len(t) + PAD for t in texts], np.int64)
     return np.concatenate([x for t in texts for x in (t, gap)]), np.cumsum(lengths) - lengths
 
@@ -87,7 +111,7 @@ class Network:
         return cls(embed, filters, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], weight.astype(np.float32), np.full(1, np.log(share / (1 - share)) - 1, np.float32))
 
     def responses(self, ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        x = self.embed[ids]
+        x = sum(self.embed[part] for part in parts(ids))
         out = []
         for kernel, shift in zip(self.filters, self.shift):
             n = len(ids) - len(kernel) + 1
@@ -129,7 +153,8 @@ class Network:
             d_kernel = np.zeros_like(kernel)
             for j in range(len(kernel)):
                 d_kernel[j] = np.einsum("bf,bfd->df", g, x[p + j])
-                np.add.at(d_embed, ids[p + j].ravel(), (g[:, :, None] * kernel[j].T[None]).reshape(-1, DIMENSIONS))
+                for part in parts(ids[p + j].ravel()):
+                    np.add.at(d_embed, part, (g[:, :, None] * kernel[j].T[None]).reshape(-1, DIMENSIONS))
             grads[f"filter{k}"], grads[f"shift{k}"] = d_kernel, g.sum(axis=0)
         d_embed[0] = 0
         grads["embed"] = d_embed
@@ -196,7 +221,7 @@ def fit(texts: list[np.ndarray], y: np.ndarray) -> Network:
     """A network trained on texts of both classes."""
     toxic, clean = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for text, kind in zip(texts, y):
-        (toxic if kind else clean)[np.unique(text)] += 1
+        (toxic if kind else clean)[np.unique(np.concatenate(parts(text)))] += 1
     n_toxic = y.sum()
     odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (len(y) - n_toxic + 1))
     network = Network.started(np.where(toxic + clean > 0, odds * (toxic + clean) / (toxic + clean + 4), 0), float(y.mean()))
@@ -270,7 +295,7 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, doc_id: str = "d
     fitted_rows = chosen & F.col("short") & ~held
     if not 0 < y[fitted].sum() < fitted.sum():
         fitted, fitted_rows = np.ones(len(y), bool), chosen & F.col("short")
-    network = fit([np.frombuffer(b, np.int32) for b in data["ids"][fitted]], y[fitted])
+    network = fit([np.frombuffer(b, np.uint32) for b in data["ids"][fitted]], y[fitted])
     languages = lang_id.learn(known)
     # Texts are judged in the scan; what meets the labels is a few bytes a text.
     judged = judge(spark.sparkContext.broadcast((network, languages)), F.col("text"))
