@@ -216,6 +216,26 @@ def test_word_memory_forgets_without_changing_ids(monkeypatch):
         assert tokens.encode([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_tokenises_words_without_their_marks(monkeypatch):
+    """What is given to the tokenizer's rules does not grow with the marks around words; the ids are the tokenizer's."""
+    from tokenizers import Tokenizer
+
+    tokens, plain = packing.WordTokens(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+
+    class Counted:
+        given = 0
+
+        def encode_batch_fast(self, texts, **how):
+            self.given += len(texts)
+            return plain.encode_batch_fast(texts, **how)
+
+    tokens.tokenizer = Counted()
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) + end for i in range(500) for end in ("", "ß", "É")]
+    texts = [" ".join(w + mark for w in words) for mark in ("", ",", ".%%%", " 12")] + ["(it's) they'll 'S Ǆ ½x a_b <|x\u00a0y", "", " \t"]
+    assert [i.tolist() for i in tokens.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert tokens.tokenizer.given < 20
+
+
 def test_packing_empty(nothing):
     assert packing.pack(nothing, WORD_BPE).count() == 0
 
