@@ -51,14 +51,19 @@ def has_letter(text: str) -> bool:
 def grams(text: str) -> np.ndarray:
     """Shares of the hashed byte n-grams of a text."""
     data = np.frombuffer(f" {' '.join(text.lower().split())} ".encode(), np.uint8).astype(np.uint32)
-    counts = np.zeros(BUCKETS, np.float32)
-    key = np.zeros(len(data), np.uint32)
+    places = np.empty(sum(max(len(data) - n + 1, 0) for n in GRAMS), np.int64)
+    key, at = np.zeros(len(data), np.uint32), 0
     for n in GRAMS:
         if len(data) < n:
             break
-        key = (key[: len(data) - n + 1] * np.uint32(0x01000193)) ^ data[n - 1 :]
-        place = ((key + np.uint32(n)) * np.uint32(2654435761)) >> np.uint32(32 - BITS)
-        counts += np.bincount(place, minlength=BUCKETS)  # one dense vector of BUCKETS numbers per text, whatever its length
+        key = key[: len(data) - n + 1] * np.uint32(0x01000193)
+        key ^= data[n - 1 :]
+        place = key + np.uint32(n)
+        place *= np.uint32(2654435761)
+        place >>= np.uint32(32 - BITS)
+        places[at : at + len(place)] = place
+        at += len(place)
+    counts = np.bincount(places, minlength=BUCKETS).astype(np.float32)  # one dense vector of BUCKETS numbers per text, whatever its length
     return counts / max(counts.sum(), 1)
 
 

@@ -38,6 +38,9 @@ BUCKETS = 1 << BITS
 STEM = 4
 #: Words whose buckets a task remembers.
 MEMORY = 200_000
+STEMS = zlib.crc32(b"stem ")
+#: Bits of the filter by which texts without a label are passed over, a power of two.
+FILTER = 1 << 25
 DIMENSIONS = 8
 FILTERS = 6
 WIDTHS = (1, 2, 3)
@@ -60,7 +63,8 @@ class Buckets(dict):
 
     def __missing__(self, word: str) -> int:
         w = word if word.isalnum() else word.strip("!?.,;:\"'()[]{}*#$%&|<>-_")
-        whole, stem = zlib.crc32(w.encode()), zlib.crc32(b"stem " + w[:STEM].encode())
+        data = w.encode()
+        whole, stem = zlib.crc32(data), zlib.crc32(data[:STEM] if len(data) == len(w) else w[:STEM].encode(), STEMS)
         code = whole % (BUCKETS - 1) + 1 | (stem % (BUCKETS - 1) + 1) << BITS
         if len(self) < MEMORY:
             self[word] = code
@@ -82,10 +86,10 @@ def parts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def laid_out(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts one after the other, each followed by padding, and where they begin."""
+    """Texts one after the other, each followed by padding and the last by twice as much, and where they begin."""
     gap = np.zeros(PAD, np.uint32)
     lengths = np.array([len(t) + PAD for t in texts], np.int64)
-    return np.concatenate([x for t in texts for x in (t, gap)]), np.cumsum(lengths) - lengths
+    return np.concatenate([*(x for t in texts for x in (t, gap)), gap]), np.cumsum(lengths) - lengths
 
 
 @dataclass
@@ -111,11 +115,14 @@ class Network:
         return cls(embed, filters, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], weight.astype(np.float32), np.full(1, np.log(share / (1 - share)) - 1, np.float32))
 
     def responses(self, ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Embeddings, and the responses of the filters from each word on; what begins in the padding belongs to no text."""
+        padding = np.flatnonzero(ids == 0)
         x = sum(self.embed[part] for part in parts(ids))
         out = []
         for kernel, shift in zip(self.filters, self.shift):
             n = len(ids) - len(kernel) + 1
             out.append(sum(x[j : j + n] @ kernel[j] for j in range(len(kernel))) + shift)
+            out[-1][padding[padding < n]] = -np.inf
         return x, out
 
     def logits(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -257,18 +264,36 @@ def coder(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "ids": [buckets(t).tobytes() for t in batch["text"]]})
 
 
-def judge(shared, text: Column) -> Column:
-    """Language and logit, in steps, of each text."""
+def spot(doc_id: Column) -> Column:
+    """The bit of an id in the filter; equal ids of any type have the same."""
+    return F.pmod(F.xxhash64(F.coalesce(doc_id.try_cast("long"), F.lit(0))), F.lit(FILTER))
+
+
+def marks(ids: DataFrame) -> np.ndarray:
+    """The filter of a table's ids, added up in tasks: FILTER bits, whatever the number of ids."""
+    at = ids.select(spot(F.col("doc_id")).alias("at")).select(F.expr("at >> 6").alias("word"), F.expr("shiftleft(1L, cast(at & 63 AS INT))").alias("bit"))
+    found = at.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bits = np.zeros(FILTER >> 6, np.int64)
+    bits[found["word"].to_numpy(np.int64)] = found["bits"]
+    return bits
+
+
+def judge(shared, text: Column, at: Column) -> Column:
+    """Language and logit, in steps, of each text whose bit the filter has; NULLs for the others."""
 
     @F.pandas_udf("spoken string, step long")
-    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        network, languages = shared.value
-        for batch in batches:
-            texts = list(batch)
-            z = np.clip(np.rint(network.logits([buckets(t) for t in texts]) / STEP), -FARTHEST, FARTHEST).astype(np.int64)
-            yield pd.DataFrame({"spoken": [a[0] for a in languages.predict(texts)], "step": z})
+    def judged(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        network, languages, bits = shared.value
+        for batch, spots in batches:
+            places = spots.to_numpy(np.int64)
+            wanted = np.flatnonzero(bits[places >> 6] >> (places & 63) & 1)
+            texts = batch.iloc[wanted].tolist()
+            spoken, step = np.full(len(batch), None, object), np.full(len(batch), np.nan)
+            spoken[wanted] = [a[0] for a in languages.predict(texts)]
+            step[wanted] = np.clip(np.rint(network.logits([buckets(t) for t in texts]) / STEP), -FARTHEST, FARTHEST)
+            yield pd.DataFrame({"spoken": pd.Series(spoken, dtype=object), "step": step})
 
-    return judged(text)
+    return judged(text, at)
 
 
 def learn(docs: DataFrame, labels: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", toxic: str = "toxic") -> Model:
@@ -297,8 +322,8 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, doc_id: str = "d
         fitted, fitted_rows = np.ones(len(y), bool), chosen & F.col("short")
     network = fit([np.frombuffer(b, np.uint32) for b in data["ids"][fitted]], y[fitted])
     languages = lang_id.learn(known)
-    # Texts are judged in the scan; what meets the labels is a few bytes a text.
-    judged = judge(spark.sparkContext.broadcast((network, languages)), F.col("text"))
+    # Texts that may have a label are judged in the scan; what meets the labels is a few bytes a text.
+    judged = judge(spark.sparkContext.broadcast((network, languages, marks(marked))), F.col("text"), spot(F.col("doc_id")))
     judged = texts.select("doc_id", F.coalesce(short, F.lit(False)).alias("short"), judged.alias("j"))
     labelled = stored(judged.join(marked, "doc_id").select("doc_id", "toxic", "short", "j.spoken", "j.step"), "toxicity-judged")
 
