@@ -94,3 +94,51 @@ def test_copies_stay_in_one_fold(table):
     data = I.prepare_table(table, "y", ["id"], ["id"])
     found = cross_validate(data, ["lr"], folds=2, together_by=["_key0"], **SIZE).first()
     assert found["failed_folds"] == 0 and found["error"] is None and found["roc_auc"] > 0.5
+
+
+def failing_fits(monkeypatch, fails):
+    """Fits of the n-th model built fail where ``fails(n)``."""
+    from tablewright.operators import models
+
+    build, built = models.build_model, iter(range(1000))
+
+    class Broken:
+        def fit(self, df):
+            raise ValueError("no memory left")
+
+    monkeypatch.setattr(models, "build_model", lambda *args, **size: Broken() if fails(next(built)) else build(*args, **size))
+    return models
+
+
+def labelled(spark, rows=200):
+    return spark.range(rows).select("id", (F.col("id") % 20).cast("double").alias("x"), F.when(F.col("id") % 20 > 9, "yes").otherwise("no").alias("y"))
+
+
+def test_a_failed_fold_is_no_score(spark, monkeypatch):
+    from tablewright.operators import impact
+
+    ready = impact.prepare_table(labelled(spark), "y", ["id"], ["id"])
+    models = failing_fits(monkeypatch, lambda n: n == 1)
+    found = models.cross_validate(ready, ["lr", "rf"], folds=2, at_once=1, **SIZE)
+    broken, whole = found.collect()
+    assert [broken[m] for m in models.MEASURES] == [None] * 3 and broken["failed_folds"] == 1 and "fold 1: ValueError: no memory left" in broken["error"]
+    assert whole["failed_folds"] == 0 and whole["error"] is None and whole["accuracy"] == 1.0
+    with pytest.raises(RuntimeError, match="lr: 1 folds, fold 1: ValueError: no memory left"):
+        models.every_fold(found)
+
+
+def test_a_fold_without_rows_is_no_score(spark):
+    from tablewright.operators import impact
+    from tablewright.operators.models import cross_validate
+
+    ready = impact.prepare_table(labelled(spark, 2), "y", ["id"], ["id"])
+    found = cross_validate(ready, ["rf"], folds=3, **SIZE).first()
+    assert found["failed_folds"] >= 1 and found["accuracy"] is None and "fold" in found["error"]
+
+
+def test_a_query_with_a_failed_fold_is_an_error(spark, sf, monkeypatch):
+    from catalog import QUERIES
+
+    failing_fits(monkeypatch, lambda n: n == 1)
+    with pytest.raises(RuntimeError, match="no memory left"):
+        QUERIES["m06_cv_accuracy"](spark, sf)
