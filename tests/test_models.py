@@ -136,6 +136,21 @@ def test_a_fold_without_rows_is_no_score(spark):
     assert found["failed_folds"] >= 1 and found["accuracy"] is None and "fold" in found["error"]
 
 
+def test_impact_of_a_failed_fold_is_an_error(spark, monkeypatch):
+    from tablewright.operators import impact
+
+    failing_fits(monkeypatch, lambda n: n % 2)
+    df, options = labelled(spark), {"folds": 2, "models": ["lr"], **SIZE}
+    for run in (
+        lambda: impact.analyze_impact(df, df.filter("id > 9"), "y", ["id"], exclude=["id"], **options),
+        lambda: impact.analyze_impact(df, df, "y", ["id"], exclude=["id"], **options),
+        lambda: impact.rank_issues(df, "y", ["id"], ["outliers"], exclude=["id"], **options),
+        lambda: impact.compare_arms(df, "y", ["id"], exclude=["id"], **options),
+    ):
+        with pytest.raises(RuntimeError, match="no memory left"):
+            run()
+
+
 def test_a_query_with_a_failed_fold_is_an_error(spark, sf, monkeypatch):
     from catalog import QUERIES
 
