@@ -1,19 +1,19 @@
 """Collocations: phrases of two to five words that stand together more often than their parts would by chance.
 
-SON partitioning. The documents are cut into shards of a bounded number of words. Each shard is mined completely, level by
-level, at the support lowered in proportion to its share of the language's words; so a phrase that is frequent in all is
-frequent in one shard at least. What a shard does not report it holds less often than its local support, so the reports
-also bound every phrase's total from above; phrases that stay below the support even so are struck out. What is left is
-marked in a filter of bounded size, and a second pass counts all phrases in the filter, by their words, in every shard:
-counts are exact, and a false mark only costs a row.
+Filtered counting. A first reading adds the count of every phrase to a cell of an array of bounded size, told by the phrase's
+hash; a task has one array for all that it reads, and the arrays of the tasks are added up. A cell holds no less than each of
+its phrases occurs, so phrases of a cell below the support are struck out. The second reading counts what is left, by words:
+counts are exact, and a phrase let through for the others in its cell only costs a row. A phrase is let through only where the
+shorter ones at its start and its end are. Cells are in proportion to the words of the table; beyond ``FILTER_BITS`` of them
+the first reading takes fewer lengths at a time, one after the other, and leaves out phrases whose parts were struck out.
 
 Texts have A-Z lowered and are cut at ``. , ; : ! ?`` and line ends into pieces, those at blanks and tabs into words. A phrase
 does not reach over pieces. NULL and empty texts hold no words; a NULL language is ``und``; repeated rows count each time;
 ties in the ranking go by count, then by the bytes of the phrase; an empty table has no phrases; other columns are ignored. A
-very long text is read piece by piece, so one piece must fit into a task's memory, a text need not. Only the word totals of the
-10,000 largest languages are broadcast; in smaller ones every phrase of a shard is reported. Shards are bounded, so in a
-language of more than ``least`` shards the local support is one: all phrases are then reported, and counting them is one plain
-aggregation of hashes.
+very long text is read piece by piece, so one piece must fit into a task's memory, a text need not.
+
+All lengths are read at once up to 2 billion words at a support of 100, one at a time from 5 billion; beyond 10 billion
+(``FILTER_BITS`` * least * 3 / 4) cells fill up with rare phrases, and more and more are counted that turn out rare.
 """
 
 from __future__ import annotations
@@ -35,19 +35,18 @@ from tablewright.llm.common import own_names, prepare, stored
 LONGEST = 5
 #: Words in a shard, on average; small splits are joined up to it, and half as many again end a shard (memory of a task).
 SHARD_WORDS = 3_000_000
-#: Local support is lowered to this at least: few large shards then report as much for each word as many small ones do, and
-#: what they do not report bounds totals closely.
-LOCAL_SUPPORT = 3
 #: Phrases a task adds up before it hands them on.
 HELD = 1_000_000
-#: Tasks for each core in the pass that counts.
+#: Tasks for each core in the readings that add up and count.
 WAVES = 2
-#: Languages whose word totals are sent to the tasks.
+#: Languages of which a task holds the word totals before it hands them on.
 LANGUAGES = 10_000
 #: Phrases handed on at once.
 GIVEN = 100_000
-#: Bits of the filter over phrases that may be frequent, at most.
-FILTER_BITS = 1 << 26
+#: Cells of the filter over phrases that may be frequent, at most; a task holds a count in each, of one byte up to a support of 255.
+FILTER_BITS = 1 << 27
+#: Cells handed on at once.
+BLOCK = 1 << 16
 
 BREAK = b"."  # stands between pieces; no word holds it
 _CUT = bytes.maketrans(b",;:!?\x0a\x0b\x0c\x0d\t", b"......... ")
@@ -56,7 +55,8 @@ _SLICE = 1 << 20  # bytes of a text cut at once
 
 
 WORDS = {"lang": pa.string(), "n": pa.int64()}
-MINED = {"lang": pa.string(), "hash": pa.int64(), "n": pa.int64(), "unseen": pa.int64()}
+SKETCHED = {"block": pa.int32(), "cells": pa.binary()}
+MARKED = {"block": pa.int32(), "bits": pa.binary()}
 COUNTED = {"lang": pa.string(), "phrase": pa.string(), "words": pa.int32(), "n": pa.int64()}
 
 
@@ -110,37 +110,40 @@ def shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Shard]:
     yield shard
 
 
-def mixed(hashes: np.ndarray, first: np.ndarray, codes: np.ndarray, k: int, lang: str) -> np.ndarray:
-    """64-bit hashes of the phrases of k words that begin at the given places."""
-    h = np.full(len(first), np.uint64(xxh3_64_intdigest(lang.encode())))
-    for j in range(k):
-        h = (h ^ hashes[codes[first + j]]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return h
-
-
-def levels(
-    codes: np.ndarray, passes: Callable[[int, np.ndarray, np.ndarray], np.ndarray]
+def lengths(
+    codes: np.ndarray, hashes: np.ndarray, lang: str, cells: int, marks: np.ndarray, known: int
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Phrases of 1, 2, ... words as (words, a place of each, its count), only those that ``passes`` lets through.
+    """For 1, 2, ... words: whether a phrase that may be frequent begins at each place, and the cells of those that do.
 
-    A longer phrase is built where both phrases of one word less, at its start and its end, were let through.
+    The marks tell phrases of up to ``known`` words; a longer one may be frequent where both parts of one word less may be.
     """
-    places = np.flatnonzero(codes > 0)
-    keys = codes[places].astype(np.int64)
+    single, mask = hashes[codes], np.uint64(cells - 1)
+    h, ok = np.full(len(codes), np.uint64(xxh3_64_intdigest(lang.encode()))), codes > 0
     for k in range(1, LONGEST + 1):
-        if not len(places):
+        if k > 1:
+            h, ok = h[:-1], ok[:-1] & ok[1:]
+        h = (h ^ single[k - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        at = (h[ok] & mask).astype(np.uint32)
+        if k <= known:
+            through = (marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            ok[ok] = through
+            at = at[through]
+        if not len(at):
             return
-        _, first, inverse, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-        del keys
-        through = passes(k, places[first], counts)
-        yield k, places[first][through], counts[through]
-        number = np.where(through, np.cumsum(through) - 1, -1)[inverse]
-        held = np.full(len(codes) + 1, -1, np.int64)
-        held[places] = number
-        del inverse, number
-        places = np.flatnonzero((held[:-1] >= 0) & (held[1:] >= 0))
-        keys = held[places] * int(through.sum()) + held[places + 1]
+        yield k, ok, at
+
+
+def phrases_of(places: Iterator[tuple[int, np.ndarray, np.ndarray]], codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Phrases of 1, 2, ... words that begin at the given places as (words, a place of each, its count)."""
+    held, size = codes.astype(np.int64), 0
+    for k, ok, _ in places:
+        at = np.flatnonzero(ok)
+        _, first, inverse, counts = np.unique(
+            held[at] if k == 1 else held[at] * size + held[at + 1], return_index=True, return_inverse=True, return_counts=True
+        )
+        yield k, at[first], counts
+        held[at], size = inverse, len(first)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -158,34 +161,46 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield of(WORDS, list(totals), list(totals.values()))
 
 
-def miner(totals: Broadcast, least: int, size: int) -> Callable:
-    """Local phrases that reach the shard's lowered support, and what a phrase it does not report may have at most."""
+def sketcher(marks: Broadcast, cells: int, low: int, high: int, least: int, size: int) -> Callable:
+    """Occurrences of phrases of ``low`` to ``high`` words in every cell, ``least`` at most, in blocks."""
 
-    def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(cells, np.min_scalar_type(least))
         for shard in shards(batches, size):
             for lang, words, codes in shard.languages():
-                here = int((codes > 0).sum())
-                share = -(-least * here // max(totals.value.get(lang, 0), 1)) if lang in totals.value else 1
-                local = max(1, min(share, LOCAL_SUPPORT))
-                yield of(MINED, [lang], [None], [0], [local - 1])
-                hashes = word_hashes(words)
-                for k, first, counts in levels(codes, lambda k, first, counts: counts >= local):
-                    h = mixed(hashes, first, codes, k, lang).view(np.int64)
-                    yield of(MINED, [lang] * len(h), h, counts, np.full(len(h), local - 1))
+                for k, _, at in lengths(codes, word_hashes(words), lang, cells, marks.value, low - 1):
+                    if k >= low:
+                        at.sort()
+                        first = np.flatnonzero(np.diff(at, prepend=~at[:1]))
+                        counts = np.diff(first, append=len(at))
+                        held[at[first]] = np.minimum(held[at[first]] + counts, least)
+                    if k == high:
+                        break
+        for i in range(0, cells, BLOCK):
+            part = held[i : i + BLOCK]
+            if part.any():
+                yield of(SKETCHED, [i // BLOCK], [part.tobytes()])
+
+    return sketch
+
 
-    return mine
+def summed(least: int) -> Callable:
+    """The cells of a block that reach the support, added up over the tasks, as bits."""
+
+    def add(blocks: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(c.as_buffer(), np.min_scalar_type(least)) for c in blocks.column("cells")]
+        total = np.zeros(len(parts[0]), np.int64)
+        for part in parts:
+            total += part
+        bits = np.packbits(total >= least, bitorder="little")
+        return pa.Table.from_batches([of(MARKED, [blocks.column("block")[0].as_py()], [bits.tobytes()])])
+
+    return add
 
 
 def counter(marks: Broadcast, size: int) -> Callable:
     """Counts of the phrases in the filter, by their words."""
 
-    def passes(h: np.ndarray) -> np.ndarray:
-        bits, mask = marks.value, np.uint64(len(marks.value) * 64 - 1)
-        out = np.ones(len(h), bool)
-        for at in (h & mask, (h >> np.uint64(32)) & mask):
-            out &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
-        return out
-
     def given(held: dict[str, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
         for lang in list(held):
             found = held.pop(lang)
@@ -198,10 +213,9 @@ def counter(marks: Broadcast, size: int) -> Callable:
         held: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
         for shard in shards(batches, size):
             for lang, words, codes in shard.languages():
-                hashes = word_hashes(words)
-                through = lambda k, first, counts: passes(mixed(hashes, first, codes, k, lang))  # noqa: B023, E731
                 own = held[lang]
-                for k, first, counts in levels(codes, through):
+                places = lengths(codes, word_hashes(words), lang, 8 * len(marks.value), marks.value, LONGEST)
+                for k, first, counts in phrases_of(places, codes):
                     for p, n in zip(first.tolist(), counts.tolist()):
                         own[b" ".join([words[c] for c in codes[p : p + k].tolist()])] += n
                 if sum(map(len, held.values())) >= HELD:
@@ -211,16 +225,20 @@ def counter(marks: Broadcast, size: int) -> Callable:
     return tally
 
 
-def marked(hashes: DataFrame) -> np.ndarray:
-    """Two bits for each hash in a filter of bounded size."""
-    n = hashes.count()
-    bits = min(FILTER_BITS, 1 << max(10, math.ceil(math.log2(16 * n + 1))))
-    spot = F.explode(F.array(F.col("hash").bitwiseAND(bits - 1), F.shiftrightunsigned("hash", 32).bitwiseAND(bits - 1)))
-    set_bits = hashes.select(spot.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at"))
-    found = set_bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("bits")).toPandas()
-    out = np.zeros(bits // 64, np.uint64)
-    out[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
-    return out
+def marked(texts: DataFrame, total: int, least: int, size: int) -> np.ndarray:
+    """A bit for each cell that the phrases of the texts, of ``total`` words, bring to the support."""
+    spark = texts.sparkSession
+    cells = min(FILTER_BITS, 1 << max(10, math.ceil(math.log2(4 * LONGEST * total / least + 1))))
+    at_once = max(1, min(LONGEST, 3 * cells * least // (4 * max(total, 1))))  # below the support in a cell on average
+    marks = np.zeros(cells // 8, np.uint8)
+    for low in range(1, LONGEST + 1, at_once):
+        known = spark.sparkContext.broadcast(marks.copy())
+        cut = sketcher(known, cells, low, min(low + at_once - 1, LONGEST), least, size)
+        sketched = texts.mapInArrow(cut, "block int, cells binary")
+        for block, bits in sketched.groupBy("block").applyInArrow(summed(least), "block int, bits binary").collect():
+            start = block * BLOCK // 8
+            marks[start : start + len(bits)] |= np.frombuffer(bits, np.uint8)
+    return marks
 
 
 def phrase_counts(docs: DataFrame, least: int = 100, shard_words: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -232,19 +250,11 @@ def phrase_counts(docs: DataFrame, least: int = 100, shard_words: int | None = N
     texts = texts.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     totals = texts.mapInArrow(count_words, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
     totals = stored(totals.where("n > 0"), "phrase-words")
-    largest = totals.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     total = totals.agg(F.sum("n")).first()[0] or 0
-    texts = texts.coalesce(max(1, math.ceil(total / size)))  # small splits join into one shard, without a shuffle
-    share = spark.sparkContext.broadcast({r["lang"]: r["n"] for r in largest})
-    mined = stored(texts.mapInArrow(miner(share, least, size), "lang string, hash long, n long, unseen long"), "phrase-mined")
-    unseen = mined.where("hash IS NULL AND unseen > 0").groupBy("lang").agg(F.sum("unseen").alias("everywhere"))
-    reports = mined.where("hash IS NOT NULL").groupBy("lang", "hash").agg(F.sum(F.col("n") - F.col("unseen")).alias("n"))
-    # ``unseen`` has at most LANGUAGES rows
-    bound = F.col("n") + F.coalesce("everywhere", F.lit(0))
-    possible = stored(reports.join(F.broadcast(unseen), "lang", "left").where(bound >= least).select("hash"), "phrase-possible")
-    marks = spark.sparkContext.broadcast(marked(possible))
-    # A task adds up the shards that it reads one after the other, so that a phrase gives a row for each task, not for each shard.
-    few = texts.coalesce(WAVES * spark.sparkContext.defaultParallelism)
+    # Small splits join into one shard, without a shuffle. A task adds up the shards that it reads one after the other, so that
+    # a phrase gives a row for each task, not for each shard.
+    few = texts.coalesce(max(1, min(math.ceil(total / size), WAVES * spark.sparkContext.defaultParallelism)))
+    marks = spark.sparkContext.broadcast(marked(few, total, least, size))
     tallied = few.mapInArrow(counter(marks, size), "lang string, phrase string, words int, n long")
     counts = tallied.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return stored(counts, "phrase-counts"), totals

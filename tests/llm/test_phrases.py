@@ -106,3 +106,33 @@ def test_a_phrase_gives_a_row_for_each_task_that_counts(spark, monkeypatch):
         ("cat sat here", 3, 200), ("the cat sat", 3, 200), ("the cat sat here", 4, 200)
     ]
     assert counts.count() == 10 and 10 <= given.value <= 10 * phrases.WAVES * spark.sparkContext.defaultParallelism
+
+
+def test_rare_phrases_of_many_shards_are_not_handed_on(spark, monkeypatch):
+    """In more shards than the support no shard can tell by itself what is rare; the rows kept must not grow with it."""
+    kept, plain = {}, phrases.stored
+
+    def watched(df, what="table"):
+        table = plain(df, what)
+        kept[what] = table.count()
+        return table
+
+    monkeypatch.setattr(phrases, "stored", watched)
+    texts = [("en", f"the cat sat . a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(300)]
+    docs = spark.createDataFrame(texts, "lang string, text string").repartition(60)
+    counts, totals = phrases.phrase_counts(docs, least=50, shard_words=30)
+    assert {r["phrase"]: r["n"] for r in counts.collect()} == dict.fromkeys(["the", "cat", "sat", "the cat", "cat sat", "the cat sat"], 300)
+    assert totals.first()["n"] == 2700 and sum(kept.values()) < 100
+
+
+def test_lengths_read_one_after_the_other_give_the_same_counts(spark, monkeypatch, texts):
+    """Cells too few for all lengths at once, and counts beyond a byte."""
+    rows = texts * 8
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    want = {(lang, " ".join(words)): n for (lang, *words), n in counted(rows)[1].items() if n >= 300}
+    marks, read = phrases.sketcher, []
+    monkeypatch.setattr(phrases, "sketcher", lambda known, cells, low, high, least, size: read.append((low, high)) or marks(known, cells, low, high, least, size))
+    monkeypatch.setattr(phrases, "FILTER_BITS", 256)
+    got, _ = phrases.phrase_counts(df, least=300, shard_words=5000)
+    assert {(r["lang"], r["phrase"]): r["n"] for r in got.collect()} == want and any(n > 255 for n in want.values())
+    assert len(read) > 1 and [low for low, _ in read[1:]] == [high + 1 for _, high in read[:-1]]
