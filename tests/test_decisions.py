@@ -173,3 +173,23 @@ def test_a_later_rule_and_a_tied_registration_give_one_row(spark):
     assert rules.filter("lower(domain) = 'mine'").count() == 1 and get_rules(rules, "mine")["max_imbalance_ratio"] == 9.0
     registry = spark.sql("SELECT 'd' AS dataset_id, timestamp'2024-01-01' AS registered_at, x AS notes FROM VALUES ('a'), ('b') AS t(x)")
     assert latest_registrations(registry).first()["notes"] == "b"
+
+
+def test_the_gain_models_are_trained_whole(spark, monkeypatch):
+    from catalog import QUERIES, learn
+
+    trained = []
+
+    def train(model, history, folds=5):
+        learner = model._pipeline().getStages()[-1]
+        size = {p.name: learner.getOrDefault(p) for p in learner.params if p.name in ("numTrees", "maxIter", "maxDepth") and learner.isDefined(p)}
+        trained.append((model.kind, history.count(), folds, size))
+        return spark.createDataFrame([(model.kind,)], "kind string")
+
+    monkeypatch.setattr(learn, "measured_gains", lambda spark, sf: spark.range(7))
+    monkeypatch.setattr(G.GainModel, "train", train)
+    assert [r["kind"] for r in QUERIES["pm03_train_gain_model"](spark, "").collect()] == ["rf", "gb", "lr"]
+    sizes = {kind: (rows, folds, size) for kind, rows, folds, size in trained}
+    assert sizes["rf"] == (7, 5, {"numTrees": 100, "maxDepth": 30})  # the deepest trees that Spark grows
+    assert sizes["gb"] == (7, 5, {"maxIter": 100, "maxDepth": 3})
+    assert sizes["lr"][:2] == (7, 5)
